@@ -43,16 +43,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], out: str, rows: int, per_bucket: int = 20_000) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str, buckets: Column | int) -> DataFrame:
     """Number the rows of each group 0, 1, 2, ... without gaps into the long column ``out``.
 
-    A group may hold all rows: it is split into buckets by a hash of the order
-    columns, each bucket is numbered by itself, and the buckets' counts, a small
-    table, give where each begins.  ``rows`` (about the table's size) sets the
-    number of buckets.  Rows equal in all order columns are interchangeable.
+    A group may hold any share of the rows: a hash of the order columns splits it into
+    ``buckets`` (a number, or a column that is constant within a group), each bucket is
+    numbered by itself, and the buckets' counts, a small table, give where each begins.
+    Rows equal in all order columns are interchangeable.
     """
-    n = max(8, -(-rows // per_bucket))
-    df = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
+    n = F.lit(buckets) if isinstance(buckets, int) else buckets
+    df = df.withColumn("_b", F.pmod(F.xxhash64(*order), n.cast("long")))
     counts = df.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from causegraph.llm import bpe
+from causegraph.llm import bpe, packing
 
 
 def queries() -> dict:
-    return {"op4_bpe": bpe.op4_bpe}
+    return {"op4_bpe": bpe.op4_bpe, "op9_best_fit_packing": packing.op9_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
