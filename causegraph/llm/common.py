@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 _ROOTS: dict[tuple[str, str], str] = {}
@@ -87,6 +88,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def with_columns(df: DataFrame, run, added: str, text: str, keep: list[str] | None = None) -> DataFrame:
+    """Rows of ``df`` with columns that ``run`` makes from a batch of one column's values.
+
+    ``run`` gets an Arrow array and returns one Arrow array per column of the schema
+    string ``added``.  The text crosses to Python once; it comes back only if kept.
+    """
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    new = _parse_datatype_string(added)
+    names = [c for c in (df.columns if keep is None else keep) if c not in new.names]
+    sent = names if text in names else [*names, text]
+    at = sent.index(text)
+
+    def apply(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *run(batch.column(at))], [*names, *new.names])
+
+    fields = {f.name: f for f in df.schema.fields}
+    return df.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(apply, StructType([*(fields[c] for c in names), *new.fields]))
+
+
 def crc(c: Column | str) -> Column:
     """crc32 of a text's UTF-8 bytes; null counts as empty."""
     return F.crc32(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("binary"))

@@ -59,7 +59,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, piece int, start long, length long, ids binary").withColumnRenamed("key", key)
 
 
-def nnls(rows: np.ndarray, h: np.ndarray, tol: float = 1e-6) -> np.ndarray:
+def nnls(rows: np.ndarray, h: np.ndarray, tol: float = 1e-3) -> np.ndarray:
     """Lawson and Hanson's active-set method for min |Ax - h|, x >= 0; column j of A counts rows[j]."""
     n, m = len(h), len(rows)
     x, inside = np.zeros(m), np.zeros(m, bool)

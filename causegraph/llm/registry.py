@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from causegraph.llm import bpe, packing
+from causegraph.llm import bpe, langid, packing, toxicity
 
 
 def queries() -> dict:
-    return {"op4_bpe": bpe.op4_bpe, "op9_best_fit_packing": packing.op9_best_fit_packing}
+    return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op4_bpe": bpe.op4_bpe,
+        "op8_language_id": langid.op8_language_id,
+        "op9_best_fit_packing": packing.op9_best_fit_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
