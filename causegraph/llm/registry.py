@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from causegraph.llm import bpe, langid, packing, toxicity
+from causegraph.llm import bpe, langid, packing, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op3_quality_rules": quality.op3_quality_rules,
         "op4_bpe": bpe.op4_bpe,
         "op8_language_id": langid.op8_language_id,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": quality.ORACLE}
