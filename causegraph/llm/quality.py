@@ -43,7 +43,7 @@ RULES = (
     Rule("mean_word_chars", 2, 15),
     Rule("symbols_per_word", None, 0.1),
     Rule("stop_word_share", 0.02, None),
-    Rule("dup_line_share", None, 0.3),
+    Rule("dup_line_share", None, 0.5),
     Rule("bullet_line_share", None, 0.9),
     Rule("ellipsis_line_share", None, 0.3),
 )
@@ -152,7 +152,7 @@ v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        NOT base_failed AND n_words <= 1000000 AND word_chars / n_words >= 2 AND word_chars / n_words <= 15 AND n_symbols / n_words <= 0.1
-       AND n_stop / n_words >= 0.02 AND n_dup_lines / n_lines <= 0.3 AND bullets / n_lines <= 0.9 AND dots / n_lines <= 0.3 AS kept
+       AND n_stop / n_words >= 0.02 AND n_dup_lines / n_lines <= 0.5 AND bullets / n_lines <= 0.9 AND dots / n_lines <= 0.3 AS kept
 FROM v"""
 
 
