@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causegraph.llm import bpe, langid, packing, quality, toxicity
+from causegraph.llm import bpe, embeddings, langid, packing, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -10,10 +10,12 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1_toxicity,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_bpe": bpe.op4_bpe,
+        "op5_rendezvous_sharding": sharding.op5_rendezvous_sharding,
         "op8_language_id": langid.op8_language_id,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
+        "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.ORACLE}
+    return {"op3_quality_rules": quality.ORACLE, "op10_embedding_near_dedup": embeddings.ORACLE}
