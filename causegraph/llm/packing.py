@@ -26,7 +26,7 @@ from causegraph.llm import bpe
 from causegraph.llm.common import documents, numbered, stored
 
 SIZE, GRID, END_ID = 2048, 8, 0
-RANK_BUCKET = 2000
+RANK_BUCKET = 250
 
 
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = bpe.VOCABULARY, size: int = SIZE, end_id: int = END_ID) -> DataFrame:

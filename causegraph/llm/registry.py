@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causegraph.llm import bpe, embeddings, langid, packing, quality, sharding, toxicity
+from causegraph.llm import bpe, embeddings, langid, packing, quality, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_bpe": bpe.op4_bpe,
         "op5_rendezvous_sharding": sharding.op5_rendezvous_sharding,
+        "op6_revisits": warc.op6_revisits,
         "op8_language_id": langid.op8_language_id,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.ORACLE, "op10_embedding_near_dedup": embeddings.ORACLE}
+    return {"op3_quality_rules": quality.ORACLE, "op6_revisits": warc.ORACLE, "op10_embedding_near_dedup": embeddings.ORACLE}
