@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from causegraph.llm import bpe, embeddings, langid, packing, quality, sharding, toxicity, warc
+from causegraph.llm import bpe, embeddings, langid, lines, packing, quality, sharding, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_line_dedup": lines.op2_line_dedup,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_bpe": bpe.op4_bpe,
         "op5_rendezvous_sharding": sharding.op5_rendezvous_sharding,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.ORACLE, "op6_revisits": warc.ORACLE, "op10_embedding_near_dedup": embeddings.ORACLE}
+    return {"op2_line_dedup": lines.ORACLE, "op3_quality_rules": quality.ORACLE, "op6_revisits": warc.ORACLE, "op10_embedding_near_dedup": embeddings.ORACLE}
