@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causegraph.llm import bpe, embeddings, langid, lines, packing, quality, sharding, toxicity, warc
+from causegraph.llm import bpe, embeddings, jaccard, langid, lines, packing, quality, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_bpe": bpe.op4_bpe,
         "op5_rendezvous_sharding": sharding.op5_rendezvous_sharding,
         "op6_revisits": warc.op6_revisits,
+        "op7_jaccard_join": jaccard.op7_jaccard_join,
         "op8_language_id": langid.op8_language_id,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_embedding_near_dedup": embeddings.op10_embedding_near_dedup,
