@@ -5,11 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 RATE = 16_000
+_LEVELS = StructType([StructField("n", IntegerType()), StructField("rms", DoubleType()), StructField("peak", DoubleType())])
 
 
-@F.pandas_udf("struct<n:int,rms:double,peak:double>")
+@F.pandas_udf(_LEVELS)
 def levels(pcm: pd.Series) -> pd.DataFrame:
     """Sample count, root mean square and peak of 16-bit little-endian mono PCM, scaled to 1."""
     rows = []
@@ -28,13 +30,13 @@ def from_int16(samples: Column) -> Column:
     return F.transform(samples, lambda x: x / F.lit(32768.0))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def mono(samples: pd.Series, channels: pd.Series) -> pd.Series:
     """Mean over interleaved channels."""
     return pd.Series([np.asarray(s, float).reshape(-1, int(c)).mean(1) for s, c in zip(samples, channels)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def resample(samples: pd.Series, rate: pd.Series) -> pd.Series:
     """Linear interpolation to 16 kHz."""
 
