@@ -36,7 +36,7 @@ from causegraph.llm.common import components, documents, stored
 WORDS, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.99999, 3
 COORDINATES, FLOOR = 48, 22  # 22 or fewer agreements of 48 have probability below 1e-7 at similarity 0.8
 NODE, ALIKE = 512, 0.25
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
