@@ -68,17 +68,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Returns (node, root) for each node of an edge, root being the smallest node of
     its component.  Alternating large-star and small-star steps (Kiveris et al.,
     2014): each is one aggregation with map-side combine and one join, and the
-    table never holds more rows than the edges it began with.
+    table never holds more rows than the edges it began with.  The least neighbours are
+    stored before they are joined, so that Spark can split a node with very many edges.
     """
     e = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "cc")
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
         # large star: each larger neighbour of u is linked to the smallest node near u
         e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours are linked to the smallest of them
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = stored(e, "cc")
+        low = stored(e.groupBy("u").agg(F.min("v").alias("m")), "cc")
         small = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = stored(small.where("u <> v").distinct(), "cc")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
