@@ -112,7 +112,7 @@ def typed(df: DataFrame) -> DataFrame:
             out.append(x)
         elif kind.endswith("[]"):
             parts = F.when(x != "", F.split(x, ";"))
-            out.append(F.transform(parts, lambda v, t=TYPES[base]: v.try_cast(t)).alias(name))
+            out.append(parts.try_cast(f"array<{TYPES[base]}>").alias(name))
         else:
             out.append(x.try_cast(TYPES[base]).alias(name))
     return df.select(*out)
