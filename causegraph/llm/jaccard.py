@@ -17,8 +17,8 @@ components are clusters.  Exact sets are then made once for each clustered docum
 and every pair within a cluster is checked exactly, in blocks of bounded size; a task
 returns link counts and a spanning forest of exact links.
 
-Null texts and texts without words link with nothing.  Rows that repeat a doc_id are
-documents of their own with that id.
+Null texts and texts without words link with nothing.  Rows that repeat a doc_id with
+its text are copies; with other texts they share that id's class and links.
 """
 
 from __future__ import annotations
