@@ -130,7 +130,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             own = [[(0, True)] for _ in dims]
             at = np.flatnonzero(dims == centres.shape[1])
             for part in np.array_split(at, -(-len(at) // 1024)) if len(at) else []:
-                home, near = _visits(_unit([np.array(batch.column("embedding")[int(i)].as_py()) for i in part]), centres, reach)
+                raw = batch.column("embedding").take(pa.array(part)).flatten().to_numpy(zero_copy_only=False)
+                home, near = _visits(_unit(raw.reshape(len(part), -1)), centres, reach)
                 for i, h, mask in zip(part, home, near):
                     own[i] = [(int(h), True), *((int(g), False) for g in np.flatnonzero(mask))]
             take = pa.array([i for i, o in enumerate(own) for _ in o], pa.int32())
