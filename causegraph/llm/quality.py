@@ -69,7 +69,7 @@ def _repeated(words: Column) -> Column:
             grow = lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"))
             return F.aggregate(at, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), grow, lambda acc: acc["n"])
 
-        neighbours = _let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), of_sorted)
+        neighbours = _let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), of_sorted)
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(F.coalesce(neighbours, F.lit(0)))
 
     def of_words(w: Column) -> Column:
