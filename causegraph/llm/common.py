@@ -71,9 +71,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     table never holds more rows than the edges it began with.  The least neighbours are
     stored before they are joined, so that Spark can split a node with very many edges.
     """
-    e = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "cc")
-    mark = None
-    while True:
+    e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc")
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
         # large star: each larger neighbour of u is linked to the smallest node near u
@@ -83,13 +82,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = stored(e.groupBy("u").agg(F.min("v").alias("m")), "cc")
         small = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = stored(small.where("u <> v").distinct(), "cc")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark is not None and tuple(now) == mark:
-            break
-        mark = tuple(now)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether edges (u, v), v the smaller, are stars: every u has one v, and no v is a u. Then the v are the components' roots."""
+    ends = e.groupBy("u").agg(F.count(F.lit(1)).alias("up"), F.lit(False).alias("hub")).unionByName(e.select("v").distinct().select(F.col("v").alias("u"), F.lit(0).cast("long").alias("up"), F.lit(True).alias("hub")))
+    bad = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("hub").alias("hub")).where("up > 1 or (up > 0 and hub)")
+    return bad.isEmpty()
+
+
 def with_columns(df: DataFrame, run, added: str, text: str, keep: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` with columns that ``run`` makes from a batch of one column's values.
 
