@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from causegraph.functions import text as t
-from causegraph.functions.edit import word_alignment
+from causegraph.functions.edit import char_distance, word_alignment
 
 
 def word_errors(df: DataFrame, ref: str, hyp: str) -> DataFrame:
@@ -14,7 +14,7 @@ def word_errors(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     out = df.withColumns({"_r": r, "_h": h})
     out = out.withColumns({"_rt": t.tokens("_r"), "_ht": t.tokens("_h"), "_rc": F.replace(F.col("_r"), F.lit(" "), F.lit("")), "_hc": F.replace(F.col("_h"), F.lit(" "), F.lit(""))})
     out = out.withColumn("_a", word_alignment("_rt", "_ht"))
-    out = out.withColumns({"s": F.col("_a.s").cast("long"), "d": F.col("_a.d").cast("long"), "i": F.col("_a.i").cast("long"), "n": F.size("_rt").cast("long"), "char_edits": F.levenshtein("_rc", "_hc").cast("long"), "char_len": F.length("_rc").cast("long")})
+    out = out.withColumns({"s": F.col("_a.s").cast("long"), "d": F.col("_a.d").cast("long"), "i": F.col("_a.i").cast("long"), "n": F.size("_rt").cast("long"), "char_edits": char_distance("_rc", "_hc").cast("long"), "char_len": F.length("_rc").cast("long")})
     wer = t.ratio(F.col("s") + F.col("d") + F.col("i"), "n")
     out = out.withColumns({"wer": wer, "accuracy": 1 - wer, "cer": t.ratio("char_edits", "char_len")})
     return out.drop("_r", "_h", "_rt", "_ht", "_rc", "_hc", "_a")

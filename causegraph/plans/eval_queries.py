@@ -20,14 +20,20 @@ def eval_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.md5(F.col("norm").cast("binary")).alias("norm"), F.size(t.tokens("norm")).cast("long").alias("n_words"))
 
 
-def heard(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns as references, and what a poor recogniser hears: some letters and every ninth-letter word change."""
+def heard(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame:
+    """Turns as references, whole or their first ``most`` characters, and what a poor recogniser hears: some letters change, the beginning is lost or a word is added."""
     c = table(spark, sf, "conversations")
-    ref = F.substring(F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", ""), 1, 120)
-    hyp = F.when(F.col("turn") % 3 == 0, F.regexp_replace(ref, "th", "d")).when(F.col("turn") % 3 == 1, F.substring(ref, 7, 120)).otherwise(F.concat(ref, F.lit(" uh")))
+    ref = F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", "")
+    ref = ref if most is None else F.substring(ref, 1, most)
+    hyp = F.when(F.col("turn") % 3 == 0, F.regexp_replace(ref, "th", "d")).when(F.col("turn") % 3 == 1, F.substr(ref, F.lit(7))).otherwise(F.concat(ref, F.lit(" uh")))
     return c.select("conv_id", "turn", ref.alias("ref"), hyp.alias("hyp"))
 
 
+def character_errors(heard: DataFrame) -> DataFrame:
+    e = evaluate.word_errors(heard, "ref", "hyp")
+    return e.select("conv_id", "turn", F.col("char_edits").alias("edits"), F.col("char_len").alias("ref_len"), F.round("cer", 9).alias("cer"))
+
+
 @query(
     "eval_cer",
     r"""WITH r AS (SELECT conv_id, turn, substr(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), 1, 120) AS ref FROM conversations),
@@ -36,8 +42,13 @@ c AS (SELECT conv_id, turn, replace(trim(regexp_replace(ref, '\s+', ' ', 'g')),
 SELECT conv_id, turn, levenshtein(a, b)::BIGINT AS edits, length(a)::BIGINT AS ref_len, CASE WHEN length(a) > 0 THEN round(levenshtein(a, b)::DOUBLE / length(a), 9) END AS cer FROM c""",
 )
 def eval_cer(spark: SparkSession, sf: str) -> DataFrame:
-    e = evaluate.word_errors(heard(spark, sf), "ref", "hyp")
-    return e.select("conv_id", "turn", F.col("char_edits").alias("edits"), F.col("char_len").alias("ref_len"), F.round("cer", 9).alias("cer"))
+    """The first 120 characters of each turn, as the SQL has it; ``eval_whole_cer`` scores all of them."""
+    return character_errors(heard(spark, sf, 120))
+
+
+@query("eval_whole_cer")
+def eval_whole_cer(spark: SparkSession, sf: str) -> DataFrame:
+    return character_errors(heard(spark, sf))
 
 
 @query("eval_wer_sdi")
