@@ -8,8 +8,8 @@ sets with similarity s choose alike with probability s.  Nodes are then compared
 when they are small, or when their sets are alike on average; a large node of unlike
 sets, such as the holders of a common passage, is split again on another sampled
 token, down to a limited depth, and compared in blocks after that.  Runs are repeated
-as often as the target recall needs at that depth: misses of a pair at the threshold
-are fewer than 1 - RECALL.
+as often as the target recall needs at that depth, with the sketch's coordinates shared
+by the splits of all runs: misses of a pair at the threshold are fewer than 1 - RECALL.
 
 Comparing in a node is brute force on sketches of 48 sampled tokens with a floor far
 below the threshold; it yields no pairs but a spanning forest of candidates, whose
@@ -34,7 +34,8 @@ from causegraph.llm.bpe import _slices
 from causegraph.llm.common import components, documents, stored
 
 WORDS, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.99999, 3
-COORDINATES, FLOOR = 48, 22  # 22 or fewer agreements of 48 have probability below 1e-7 at similarity 0.8
+COORDINATES, FLOOR = 48, 22  # 22 or fewer agreements of 48 have probability 1.7e-7 at similarity 0.8
+LIKENESS = 4  # so many of the coordinates judge nodes, the others split them
 NODE, ALIKE = 512, 0.25
 SLICE_BYTES = 2 << 20
 
@@ -45,9 +46,27 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
+def missed(n_runs: float, threshold: float = THRESHOLD, depth: int = DEPTH) -> float:
+    """Probability that a pair at the threshold was not compared, or not above the floor, after so many runs in which
+    every node split down to ``depth``. Splits of all runs share the sketch's coordinates, so a pair that agrees in few
+    of them is missed in many runs: the expectation is over the number of coordinates it agrees in."""
+
+    def chance(k: int, n: int) -> float:
+        return math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k)
+
+    shared = COORDINATES - LIKENESS
+    apart = sum(chance(k, shared) * (1 - threshold * (k / shared) ** (depth - 1)) ** n_runs for k in range(shared + 1))
+    return apart + sum(chance(k, COORDINATES) for k in range(FLOOR + 1))
+
+
 def runs(threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> int:
     """Runs after which a pair at the threshold was missed with probability below 1 - recall, even if every node split down to ``depth``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
+    if missed(math.inf, threshold, depth) >= 1 - recall:
+        raise ValueError(f"sketches of {COORDINATES} do not reach a recall of {recall} at {threshold}")
+    n = 1
+    while missed(n, threshold, depth) >= 1 - recall:
+        n += 1
+    return n
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -305,13 +324,13 @@ def _candidates(reps: DataFrame, n_runs: int) -> DataFrame:
             break
         # Likeness of a large node: how often two of its sets agree in one coordinate, which the node's hash names.
         # A misjudged node costs time only: runs() allows for splits down to DEPTH.
-        one = 2 * F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(4)).cast("int") + 1
+        one = 2 * F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(LIKENESS)).cast("int") + 1
         alike = large.groupBy("node", F.substring(F.col("sketch"), one, F.lit(2)).alias("v")).agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
         alike = alike.groupBy("node").agg((F.sum(F.col("m").cast("double") * F.col("m")) / F.first(F.col("n").cast("double") * F.col("n"))).alias("alike"))
         split = alike.where(F.col("alike") < ALIKE).select("node")
         split = stored(split, "split")
         compared.append(level.join(split, "node", "left_anti"))
-        pick = 4 + F.pmod(F.xxhash64(F.lit(6), "node"), F.lit(COORDINATES - 4)).cast("int")
+        pick = LIKENESS + F.pmod(F.xxhash64(F.lit(6), "node"), F.lit(COORDINATES - LIKENESS)).cast("int")
         rows = stored(level.join(split, "node", "left_semi").select("rep", F.xxhash64("node", F.substring(F.col("sketch"), 2 * pick + 1, F.lit(2))).alias("node")), "paths")
     todo = compared[0]
     for more in compared[1:]:

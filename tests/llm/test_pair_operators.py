@@ -205,3 +205,14 @@ def test_pipeline(spark, sf):
 def test_registry():
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert sorted({int(m[1]) for q in registry.queries() if (m := re.match(r"op(\d+)_", q))}) == list(range(1, 11)) and "pipeline" in registry.queries()
+
+
+def test_jaccard_runs_allow_for_shared_coordinates():
+    """Runs simulated as in a node that splits to the last depth: all of them split on the same coordinates."""
+    rng = np.random.default_rng(3)
+    agree = (rng.random((200_000, jaccard.COORDINATES - 4)) < 0.8).mean(1)
+    apart = lambda n: ((1 - 0.8 * agree**2) ** n).mean()
+    assert apart(17) > 3e-5 and apart(jaccard.runs()) < 1.5e-5
+    assert jaccard.missed(17) > 5e-5 and jaccard.missed(jaccard.runs()) < 1e-5 <= jaccard.missed(jaccard.runs() - 1)
+    with pytest.raises(ValueError):
+        jaccard.runs(0.3)
