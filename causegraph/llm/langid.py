@@ -5,7 +5,9 @@ characters are hashed into a fixed number of buckets.  Document frequencies are
 counted over all learnable documents; a sparse multinomial logistic regression on
 TF-IDF values is fitted by follow-the-regularised-leader with an elastic net on a
 bounded sample of them, and a temperature, fitted on a part of the sample held back
-from it, calibrates the probabilities.  Each text is scored whole.
+from it, calibrates the probabilities.  The sample is drawn per language, so that a rare
+one is learned however large the table is; it weighs more there than in the table.
+Each text is scored whole.
 
 Null texts and texts without a letter are ``und`` with score 0.  Without learnable
 rows all are.  Rows with a null language teach nothing but are scored.  Equal texts
@@ -14,6 +16,7 @@ get equal results.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +29,8 @@ from causegraph.llm.common import crc, documents, with_columns
 BUCKETS = 1 << 15
 #: Expected size of the sample that the weights are fitted on; document frequencies cover all rows.
 TRAIN_ROWS = 4000
+#: A language has at least so many rows in the sample, or all of its rows.
+LEAST_ROWS = 100
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.02, 0.5
 HELD_BACK = 5  # every fifth row of the sample calibrates
 SLICE = 1 << 22
@@ -141,24 +146,26 @@ def train(df: DataFrame, learnable: Column, key: str = "doc_id", text: str = "te
     rows = df.where(learnable & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df_, n = np.zeros(buckets, np.int64), 0
+        df_, n = np.zeros(buckets, np.int64), Counter()
         for batch in batches:
-            for t in batch.column(0):
+            for t, lang_ in zip(batch.column(0), batch.column(1).to_pylist()):
                 got = counts(t.as_py(), buckets)
                 if got is not None:
                     df_[got[0]] += 1
-                    n += 1
+                    n[lang_] += 1
         at = np.flatnonzero(df_)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df_[at], n))], ["bucket", "n"])
+        bucket, lang_ = at.tolist() + [None] * len(n), [None] * len(at) + list(n)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(lang_, pa.string()), pa.array(df_[at].tolist() + list(n.values()), pa.int64())], ["bucket", "lang", "n"])
 
-    found = rows.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # one row per bucket
+    found = rows.select("text", "lang").mapInArrow(frequencies, "bucket int, lang string, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n")).collect()  # one row per bucket and language
     frequency = np.zeros(buckets)
-    total = 0
+    have: dict[str, int] = {}
     for r in found:
-        if r.bucket < 0:
-            total = r.n
+        if r.bucket is None:
+            have[r.lang] = r.n
         else:
             frequency[r.bucket] = r.n
+    total = sum(have.values())
     idf = np.log((1 + total) / (1 + frequency)) + 1
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +173,22 @@ def train(df: DataFrame, learnable: Column, key: str = "doc_id", text: str = "te
             out = [(lang_, got) for t, lang_ in zip(batch.column(0), batch.column(1).to_pylist()) if (got := counts(t.as_py(), buckets)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([g[0].astype(np.uint16).tobytes() for _, g in out], pa.binary()), pa.array([np.minimum(g[1], 65535).astype(np.uint16).tobytes() for _, g in out], pa.binary())], ["lang", "at", "n"])
 
-    share = min(1.0, train_rows / max(total, 1))
-    chosen = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = sorted(tuple(r) for r in rows.where(chosen).select("text", "lang").mapInArrow(vectors, "lang string, at binary, n binary").collect())
+    # Twice the least number is drawn at least: fewer than that number then come only where rows of a language share few keys.
+    share = {x: min(1.0, max(train_rows / total, 2 * LEAST_ROWS / n)) for x, n in have.items()}
+    usual = min(1.0, train_rows / max(total, 1))
+    more = {x: int(v * (1 << 30)) for x, v in share.items() if v > usual}
+    limit = F.lit(int(usual * (1 << 30)))
+    if more:
+        limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(y) for x in sorted(more.items()) for y in x]), F.col("lang")), limit)
+    chosen = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < limit
+    schema = "lang string, at binary, n binary"
+    sample = [tuple(r) for r in rows.where(chosen).select("text", "lang").mapInArrow(vectors, schema).collect()]
+    drawn = Counter(x for x, _, _ in sample)
+    for x in sorted(have):
+        if drawn[x] < min(have[x], LEAST_ROWS):
+            again = rows.where(F.col("lang") == x).select("text", "lang").mapInArrow(vectors, schema).limit(LEAST_ROWS)
+            sample = [r for r in sample if r[0] != x] + [tuple(r) for r in again.collect()]
+    sample.sort()
     read = lambda b: np.frombuffer(bytes(b), np.uint16).astype(np.int64)
     mixed = np.random.default_rng(88).permutation(len(sample))
     sample = [sample[i] for i in mixed]

@@ -136,6 +136,18 @@ def test_language_id_without_rows_or_with_one_language(spark):
     assert langid.train(one, ~langid.held_out()).predict("other") == ("xx", 1.0)
 
 
+def test_language_id_learns_a_rare_language_of_a_large_table(spark):
+    rng = random.Random(9)
+    common = {g: LANGS[g] for g in ("en", "de")}
+    rows = [(i, " ".join(rng.choice(common[g]) for _ in range(12)), g) for i in range(3000) for g in [("en", "de")[i % 2]]]
+    rows += [(5000 + i, " ".join(rng.choice(LANGS["fr"]) for _ in range(12)), "fr") for i in range(30)]
+    rows += [(9000, "zyx wvu", "xx")] * 900  # one key and text for all rows of a language
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, ~(df.doc_id < 0), train_rows=20)
+    assert model.langs == ["de", "en", "fr", "xx"]
+    assert [model.predict(" ".join(w))[0] for w in LANGS.values()] == ["en", "de", "fr"] and model.predict("zyx wvu")[0] == "xx"
+
+
 def test_toxicity_learns_pairs():
     """Neither word alone is toxic; both together are: no sum of weights separates these rows."""
     rng = random.Random(1)
