@@ -5,13 +5,17 @@ characters, hashed into a fixed number of buckets.  The machine scores
 bias + sum of weights + sum over pairs of terms of the products of their factors, so
 a pair such as an insult and the mention of a group can count beyond what both do
 alone.  It is fitted by AdaGrad on a bounded sample of the labelled rows, over the
-terms which that sample shows to depend on the label (a likelihood-ratio test);
-all other terms have weight zero, so the length of a text does not move its score.
-Texts are scored whole.
+terms which that sample shows to matter, alone or in a pair: a likelihood-ratio test
+keeps a term on which the label depends, and a second one both terms of a pair each of
+which changes the label among the rows that hold the other, even where neither says
+anything alone.  Pairs are tested among the PAIR_TERMS most frequent terms.  All other
+terms have weight zero, so the length of a text does not move its score.  Texts are
+scored whole.
 
 Null and empty texts score the bias alone.  Rows without a label, or with a null one,
 teach nothing.  With no rows of one class the score is the share of label 1 (0.0
-without labels).  Several labels of a document each count as a row.
+without labels).  Several labels of a document each count as a row, and so do repeated
+documents; equal texts get equal scores.
 """
 
 from __future__ import annotations
@@ -30,7 +34,9 @@ BUCKETS = 1 << 20
 #: Expected size of the sample of labelled rows.
 TRAIN_ROWS = 12_000
 FACTORS, EPOCHS, RATE, L2_WEIGHT, L2_FACTOR = 8, 12, 0.1, 1e-4, 1e-3
-LEAST_ROWS, LEAST_TEST, MOST_TERMS = 4, 15.0, 4096
+LEAST_ROWS, LEAST_TEST = 4, 15.0
+#: Terms whose pairs are tested (a square of them is held on the driver), and the test's floor: 5e-11 for one of two million pairs.
+PAIR_TERMS, LEAST_PAIR_TEST = 2048, 43.0
 CACHE_WORDS, LONG_WORD = 200_000, 40
 
 _EDGE = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -84,16 +90,39 @@ class Model:
         return float(self.bias + self.weights[at].sum() + 0.5 * (s @ s - (v * v).sum()))
 
 
-def _tests(n: np.ndarray, pos: np.ndarray, rows: int, positive: int) -> np.ndarray:
-    """Likelihood-ratio statistic of each term against the label."""
+def _tests(n, pos, rows, positive):
+    """Likelihood-ratio statistic of the label against terms: of so many ``rows``, of which ``positive`` have
+    label 1, ``n`` hold a term and ``pos`` of these have label 1. Arguments may be arrays."""
     a, b, c, d = pos, n - pos, positive - pos, rows - positive - (n - pos)
     total = 0.0
     for cell, r, k in ((a, n, positive), (b, n, rows - positive), (c, rows - n, positive), (d, rows - n, rows - positive)):
-        expected = np.maximum(r * k / rows, 1e-12)
+        expected = np.maximum(r * k / np.maximum(rows, 1), 1e-12)
         total = total + np.where(cell > 0, cell * np.log(np.maximum(cell, 1e-12) / expected), 0.0)
     return 2 * total
 
 
+def _in_pairs(x: list[np.ndarray], y: np.ndarray, terms: np.ndarray, buckets: int) -> np.ndarray:
+    """Those of ``terms`` that are in a pair whose terms each depend on the label among the rows that hold the other."""
+    place = np.full(buckets, -1)
+    place[terms] = np.arange(len(terms))
+    n, pos = (np.zeros((len(terms), len(terms)), np.float32) for _ in range(2))
+    for to, part in ((n, range(len(x))), (pos, np.flatnonzero(y))):
+        for first in range(0, len(part), 1024):
+            block = np.zeros((min(1024, len(part) - first), len(terms)), np.float32)
+            for row, i in zip(block, part[first : first + 1024]):
+                at = place[x[i]]
+                row[at[at >= 0]] = 1
+            to += block.T @ block  # rows that hold both terms, for each pair
+    own, own_pos = np.diag(n).astype(float), np.diag(pos).astype(float)
+    found = np.zeros(len(terms), bool)
+    for i in range(len(terms)):
+        both, both_pos = n[i].astype(float), pos[i].astype(float)
+        ok = np.minimum(_tests(both, both_pos, own[i], own_pos[i]), _tests(both, both_pos, own, own_pos)) >= LEAST_PAIR_TEST
+        ok[i] = False
+        found |= ok
+    return terms[found]
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS, seed: int = 1) -> Model:
     positive = int(y.sum())
     share = positive / len(y) if len(y) else 0.0
@@ -104,8 +133,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, buckets: int = BUCKETS, seed: int
     pos = np.bincount(np.concatenate([r for r, t in zip(rows, y) if t]), minlength=buckets)
     often = np.flatnonzero(n >= LEAST_ROWS)
     test = _tests(n[often].astype(float), pos[often].astype(float), len(y), positive)
-    best = np.argsort(-test, kind="stable")[:MOST_TERMS]
-    kept = np.sort(often[best[test[best] >= LEAST_TEST]])
+    usual = often[np.argsort(-n[often], kind="stable")[:PAIR_TERMS]]
+    kept = np.union1d(often[test >= LEAST_TEST], _in_pairs(rows, y, usual, buckets))
     row_of = np.full(buckets, -1)
     row_of[kept] = np.arange(len(kept))
     x = [(r := row_of[b])[r >= 0] for b in rows]
@@ -159,7 +188,7 @@ def train(df: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_i
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
     """All rows, with the columns ``keep`` (all of them by default) and the score; a column of its name is replaced."""
-    held = df.sparkSession.sparkContext.broadcast(model)  # MOST_TERMS rows at most
+    held = df.sparkSession.sparkContext.broadcast(model)  # the terms kept of those in about TRAIN_ROWS texts
 
     def run(texts) -> list[pa.Array]:
         return [pa.array([held.value.score(t.as_py()) for t in texts], pa.float64())]
