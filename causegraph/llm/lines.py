@@ -12,14 +12,16 @@ windows are counted with map-side combine, and the join that finds their occurre
 is one whose skewed partitions Spark splits.  Texts move once, in the last join.
 
 Null texts stay null, empty ones empty.  A document that is repeated with its doc_id
-counts as one.  Documents whose lines all repeat earlier ones end up empty.
+counts as one.  Documents whose lines all repeat earlier ones end up empty.  Rows with a
+null doc_id have no place in the order: they stay as they are and take no lines from others.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from causegraph.llm.common import documents, stored
+from causegraph.llm.common import documents, fresh
+from causegraph.storage import stored
 
 WINDOW = 3
 _SPACES = " \t\n\x0b\f\r"
@@ -29,7 +31,7 @@ _WORD = r"[^\x20\x09-\x0D]"
 def windows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, pos, a, b): a window's number within its document, and its hash."""
     trimmed = F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(_WORD)), lambda x: F.btrim(x, F.lit(_SPACES)))
-    lines = df.select(F.col(key).alias("key"), trimmed.alias("lines"))
+    lines = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), trimmed.alias("lines"))
     hashed = lines.select("key", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(2), x).alias("b"))).alias("h"))
 
     def of(i: Column, field: str) -> Column:
@@ -48,18 +50,19 @@ def repeated(found: DataFrame) -> DataFrame:
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns, with the text rebuilt and n_lines, n_removed (lines that aren't blank) added."""
+    df = df.drop("n_lines", "n_removed")
+    own, begin, lines, at, gone = fresh(df, "own", "begin", "lines", "at", "gone")
     later = repeated(stored(windows(df, key, text), "windows"))
-    covered = later.groupBy("key").agg(F.collect_set("pos").alias("_from")).withColumnRenamed("key", "_key")
-    joined = df.drop("n_lines", "n_removed").join(covered, F.col(key) == F.col("_key"), "left")
-    joined = joined.withColumn("_lines", F.split(text, "\n"))
-    number = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(_WORD), i)), lambda i: i.isNotNull())
-    joined = joined.withColumn("_at", number)
-    gone = F.flatten(F.transform("_from", lambda p: F.filter(F.array(*[F.get("_at", p + k) for k in range(WINDOW)]), lambda i: i.isNotNull())))
-    joined = joined.withColumn("_gone", F.coalesce(F.array_distinct(gone), F.array().cast("array<int>")))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i))
-    rebuilt = F.when(F.size("_gone") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))
-    out = joined.withColumns({text: rebuilt, "n_lines": F.coalesce(F.size("_at"), F.lit(0)).cast("long"), "n_removed": F.size("_gone").cast("long")})
-    return out.drop("_key", "_from", "_lines", "_at", "_gone")
+    covered = later.groupBy("key").agg(F.collect_set("pos").alias(begin)).withColumnRenamed("key", own)
+    joined = df.join(covered, F.col(key) == F.col(own), "left").withColumn(lines, F.split(text, "\n"))
+    number = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(_WORD), i)), lambda i: i.isNotNull())
+    joined = joined.withColumn(at, number)
+    marks = F.flatten(F.transform(begin, lambda p: F.filter(F.array(*[F.get(at, p + k) for k in range(WINDOW)]), lambda i: i.isNotNull())))
+    joined = joined.withColumn(gone, F.coalesce(F.array_distinct(marks), F.array().cast("array<int>")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
+    rebuilt = F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col(text))
+    out = joined.withColumns({text: rebuilt, "n_lines": F.coalesce(F.size(at), F.lit(0)).cast("long"), "n_removed": F.size(gone).cast("long")})
+    return out.drop(own, begin, lines, at, gone)
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

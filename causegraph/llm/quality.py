@@ -7,6 +7,7 @@ shuffled and no row depends on another.
 
 A null text has no words.  A text without words has ratios of 0 and fails the base
 rule.  Windows are compared by a 64-bit hash of their three words within one text.
+Repeated rows are measured each for itself.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from causegraph.llm.common import documents
+from causegraph.llm.common import documents, fresh
 
 #: Characters that part words, and those counted as symbols.
-SPACE, SYMBOLS = r"\x20\x09-\x0D", r"#*$%&|<>"
+SPACE, SYMBOLS = r"\x20\x09-\x0D", "#*$%&|<>"
 _SPACES = " \t\n\x0b\f\r"
 #: Common function words of English, German, French and Spanish.
 STOP_WORDS = """
@@ -80,36 +81,35 @@ def _repeated(words: Column) -> Column:
 
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """All rows with the measures added; existing columns of those names are replaced."""
+    """All rows with the measures added; existing columns of those names are replaced, all others stay."""
     t = F.coalesce(F.col(text), F.lit(""))
+    w, own, bullets, dots, n_lines = fresh(df, "w", "own", "bullets", "dots", "n_lines_")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    base = df.withColumns({"_w": _words(t), "_l": lines})
-    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    n, n_lines = F.size("_w"), F.size("_l")
+    base = df.withColumns({w: _words(t), own: lines})
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    without = lambda characters: F.char_length(F.translate(t, characters, ""))
     counted = base.withColumns(
         {
-            "n_words": n.cast("long"),
-            "word_chars": F.char_length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("long"),
-            "n_symbols": F.char_length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("long"),
-            "n_dup_lines": (n_lines - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": _repeated(F.col("_w")).cast("long"),
-            "n_stop_words": F.size(F.filter("_w", lambda w: w.isin(STOP_WORDS))).cast("long"),
-            "_bullets": F.size(F.filter("_l", lambda x: x.rlike(f"^[{SPACE}]*[-*•]"))),
-            "_dots": F.size(F.filter("_l", lambda x: x.rlike(f"(\\.\\.\\.|…)[{SPACE}]*$"))),
-            "_lines": n_lines,
+            "n_words": F.size(w).cast("long"),
+            "word_chars": without(_SPACES).cast("long"),
+            "n_symbols": (F.char_length(t) - without(SYMBOLS)).cast("long"),
+            "n_dup_lines": (F.size(own) - F.size(F.array_distinct(own))).cast("long"),
+            "n_repeat_words": _repeated(F.col(w)).cast("long"),
+            "n_stop_words": F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).cast("long"),
+            bullets: F.size(F.filter(own, lambda x: x.rlike(f"^[{SPACE}]*[-*•]"))),
+            dots: F.size(F.filter(own, lambda x: x.rlike(f"(\\.\\.\\.|…)[{SPACE}]*$"))),
+            n_lines: F.size(own),
         }
-    ).drop("_w", "_l")
-    c = F.col
-    return counted.withColumns(
-        {
-            "mean_word_chars": share(c("word_chars"), c("n_words")),
-            "symbols_per_word": share(c("n_symbols"), c("n_words")),
-            "stop_word_share": share(c("n_stop_words"), c("n_words")),
-            "dup_line_share": share(c("n_dup_lines"), c("_lines")),
-            "bullet_line_share": share(c("_bullets"), c("_lines")),
-            "ellipsis_line_share": share(c("_dots"), c("_lines")),
-        }
-    ).drop("_bullets", "_dots", "_lines")
+    ).drop(w, own)
+    shares = {
+        "mean_word_chars": ("word_chars", "n_words"),
+        "symbols_per_word": ("n_symbols", "n_words"),
+        "stop_word_share": ("n_stop_words", "n_words"),
+        "dup_line_share": ("n_dup_lines", n_lines),
+        "bullet_line_share": (bullets, n_lines),
+        "ellipsis_line_share": (dots, n_lines),
+    }
+    return counted.withColumns({name: share(*parts) for name, parts in shares.items()}).drop(bullets, dots, n_lines)
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
