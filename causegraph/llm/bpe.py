@@ -1,20 +1,24 @@
 """Operator 4: byte-level BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash over 16 code points cuts each text into chunks, so that a passage
-shared by two documents gives the same chunks in both wherever it stands.  A
-worker encodes each distinct chunk once and keeps it in a cache of bounded size.
-Cuts fall anywhere, also within words; each join is therefore encoded again, from
-the last *safe point* of the left chunk to the first of the right one, and the
-window grows over further chunks as long as one has no safe point.  A safe point is
-a space between two characters that are not white space: the pre-tokenizer's
-pattern lets no token reach across it and looks at nothing beyond it, so the
-encodings left and right of the window agree exactly with those of the whole text.
+shared by two documents gives the same chunks in both wherever it stands.  A worker
+encodes each distinct chunk once and keeps its ids in a cache of bounded size.
+
+Cuts fall anywhere, also within words, so each join of two chunks is repaired: the text
+from a seam near the left chunk's end to a seam near the right one's beginning is
+encoded again.  Seams are places where two characters must belong to different
+pre-tokens (before white space, or between a letter or digit and punctuation).  Each
+window holds one whole stretch between seams of either chunk beside the join itself, and
+counts only if its ids begin and end with exactly the ids that the chunks gave those
+stretches; if not, it grows, over further chunks too where one has no seam, until they
+agree.
 
 The cache lives in the worker process; no table of chunks is shuffled.  A chunk is
 encoded once per worker, and a lost executor costs only its cache.
 
 Null texts count as empty.  An empty text has no ids.  The text of a special token
-is encoded as that token, as the vocabulary's own library does by default.
+is encoded as that token, as the vocabulary's own library does by default.  Repeated
+rows are encoded each for itself.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 WINDOW, AVERAGE, LARGEST = 16, 1024, 16_384
 CACHE_BYTES = 96 << 20
 
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Seams: between a character that is no white space and one that is, and between a letter or digit and punctuation, among
+#: characters that have been of these kinds in all versions of Unicode. Words don't end before an apostrophe's letters alone.
+_SEAM = re.compile(r"(?<=\S)(?=[ \t\n\r\f\v])|(?<=[0-9A-Za-zА-Яа-яぁ-ゔァ-ヴ一-龥가-힣])(?=[!-/:-@\[-`{-~、。「」『』])")
+#: So many of a chunk's last characters are searched for its last seams first.
+_NEAR = 256
 _LOADED: dict[str, "Codec"] = {}
 
 
@@ -62,6 +71,18 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@dataclass(frozen=True)
+class Chunk:
+    """``left``, the text up to the second seam, ends with a stretch of ids ``head``; ``right``, from the last seam but
+    one, begins with one of ids ``tail``; ``body`` are the ids between the two."""
+
+    left: str
+    right: str
+    head: bytes
+    body: bytes
+    tail: bytes
+
+
 class Codec:
     """Encodes and decodes with one byte-level vocabulary file."""
 
@@ -77,7 +98,8 @@ class Codec:
         self.merge_order(spec["model"]["merges"], spec["model"]["vocab"])
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.ordinary = self.bpe._core_bpe.encode_ordinary
-        self.special = list(special)
+        self.special = {t: array("I", [i]).tobytes() for t, i in special.items()}
+        self.apart = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         n = max([*ranks.values(), *special.values()]) + 1
         table = [b""] * n
         for token, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
@@ -85,8 +107,9 @@ class Codec:
         self.lengths = np.array([len(t) for t in table], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.blob = np.frombuffer(b"".join(table), np.uint8)
-        self.chunks: dict[str, tuple[str, bytes, str] | None] = {}
+        self.chunks: dict[str, Chunk | None] = {}
         self.held = 0
+        self.characters = self.reused = self.again = 0  # of all chunks, of those found in the cache, of windows at joins
 
     @staticmethod
     def merge_order(merges: list, vocab: dict[str, int]) -> None:
@@ -96,51 +119,64 @@ class Codec:
             raise ValueError("the vocabulary's ids don't follow the order of its merges")
 
     def direct(self, text: str) -> bytes:
-        """Ids of a text that begins and ends at safe points or at the document's ends."""
-        if any(t in text for t in self.special):
-            return array("I", self.bpe.encode(text, allowed_special="all")).tobytes()
+        """Ids of a text without special tokens, taken by itself."""
         return array("I", self.ordinary(text)).tobytes()
 
-    def chunk(self, text: str) -> tuple[str, bytes, str] | None:
-        """(text before the first safe point, ids between it and the last one, text after that), or None if it has none."""
+    def chunk(self, text: str) -> "Chunk | None":
+        """A chunk's ids between its seams, from the cache where it has been seen; None if it has fewer than three seams."""
+        self.characters += len(text)
         if text in self.chunks:
+            self.reused += len(text)
             return self.chunks[text]
-        found = _SAFE.search(text)
-        if found is None:
-            got, size = None, 0
-        else:
-            a = b = found.start()
-            at = len(text)
-            while (at := text.rfind(" ", a, at)) > a:
-                if at + 1 < len(text) and not text[at - 1].isspace() and not text[at + 1].isspace():
-                    b = at
-                    break
-            got = (text[:a], self.direct(text[a:b]), text[b:])
-            size = len(got[1])
+        first = [m.start() for _, m in zip(range(2), _SEAM.finditer(text, 1))]
+        last = [m.start() for m in _SEAM.finditer(text, max(1, len(text) - _NEAR))][-2:]
+        if len(first) == 2 and len(last) < 2:
+            last = [m.start() for m in _SEAM.finditer(text, 1)][-2:]
+        got, size = None, 0
+        if len(first) == 2 and first[1] <= last[0]:
+            (a, c), (d, b) = first, last
+            got = Chunk(text[:c], text[d:], self.direct(text[a:c]), self.direct(text[c:d]), self.direct(text[d:b]))
+            size = len(got.body)
         if self.held > CACHE_BYTES:
             self.chunks.clear()
             self.held = 0
         self.chunks[text] = got
-        self.held += size + 4 * len(text) + 300
+        self.held += size + 4 * len(text) + 400
         return got
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text."""
         if not text:
             return b""
-        out, carry = [], ""
-        for piece in chunks(text):
+        if self.apart is None or not self.apart.search(text):
+            return self.joined(text)
+        out, at = [], 0
+        for m in self.apart.finditer(text):  # special tokens part the text before anything else does
+            out += [self.joined(text[at : m.start()]), self.special[m[0]]]
+            at = m.end()
+        return b"".join([*out, self.joined(text[at:])])
+
+    def joined(self, text: str) -> bytes:
+        """Ids of a text without special tokens, from those of its chunks."""
+        out: list[bytes] = []
+        begin = b""  # ids that the window's text must begin with
+        window = ""
+        for piece in chunks(text) if text else ():
             got = self.chunk(piece)
-            if got is None:
-                carry += piece
-                continue
-            head, body, tail = got
-            if carry or head:
-                out.append(self.direct(carry + head))
-            out.append(body)
-            carry = tail
-        if carry:
-            out.append(self.direct(carry))
+            if got is not None:
+                found = self.direct(window + got.left)
+                self.again += len(window) + len(got.left)
+                if found.startswith(begin) and found.endswith(got.head):
+                    out += [found, got.body]
+                    window, begin = got.right, got.tail
+                    continue
+            window += piece
+        if window:
+            found = self.direct(window)
+            self.again += len(window)
+            if not found.startswith(begin):
+                return self.direct(text)
+            out.append(found)
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -199,7 +235,7 @@ def _list(parts: list[bytes]) -> pa.Array:
 
 
 def encode_decode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Per row: the key, ``ids`` (array of int) and ``decoded`` (those ids as text)."""
+    """Per row: the key, ``ids`` (array of int) and ``decoded`` (those ids as text); other columns go."""
 
     def run(batches):
         c = codec(vocabulary)
