@@ -1,65 +1,57 @@
-"""What several operators share: shared storage, gapless numbering, components."""
+"""What several operators share: gapless numbering, components, columns made in Python, free names."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
-_ROOTS: dict[tuple[str, str], str] = {}
+from causegraph.storage import stored
 
+_SUPER = 1024
 
-def shared_root(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``, removed when the driver ends.
 
-    Only where the setting is absent (tests in local mode) a temporary folder of
-    the driver serves, since driver and executors are then one machine.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    key = (spark.sparkContext.applicationId, base or "")
-    if key not in _ROOTS:
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="causegraph-")
-        _ROOTS[key] = f"{base.rstrip('/')}/causegraph-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _ROOTS[key])
-    return _ROOTS[key]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM may be gone at exit
-        pass
+def fresh(df: DataFrame, *names: str, also: tuple[str, ...] = ()) -> list[str]:
+    """Names for working columns that no column of ``df`` has, nor ``also``."""
+    taken, out = {c.lower() for c in (*df.columns, *also)}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and
-    lost executors lose nothing."""
-    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def row_ids(df: DataFrame, out: str) -> DataFrame:
+    """Adds a long that differs in every row. It holds only once written: store the table before it is used twice."""
+    return df.withColumn(out, F.monotonically_increasing_id())
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], out: str, buckets: Column | int) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], row: str, out: str, buckets: Column | int) -> DataFrame:
     """Number the rows of each group 0, 1, 2, ... without gaps into the long column ``out``.
 
-    A group may hold any share of the rows: a hash of the order columns splits it into
-    ``buckets`` (a number, or a column that is constant within a group), each bucket is
-    numbered by itself, and the buckets' counts, a small table, give where each begins.
-    Rows equal in all order columns are interchangeable.
+    ``df`` is a stored table and ``row`` a column with another value in every row, so
+    rows that are equal otherwise part too. A group may hold any share of the rows: a
+    hash of ``row`` splits it into ``buckets`` (a number, or a column that is constant
+    within a group), and each bucket is numbered by itself. Where each begins comes from
+    prefix sums in two steps, over the buckets of every thousand and over the thousands,
+    so no task meets all buckets of a large group either.
     """
-    n = F.lit(buckets) if isinstance(buckets, int) else buckets
-    df = df.withColumn("_b", F.pmod(F.xxhash64(*order), n.cast("long")))
-    counts = df.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    within = Window.partitionBy(*group, "_b").orderBy(*order)
-    ranked = df.withColumn("_r", F.row_number().over(within) - 1)
-    return ranked.join(counts, [*group, "_b"]).withColumn(out, (F.col("_from") + F.col("_r")).cast("long")).drop("_b", "_r", "_from")
+    b, s, n, before, rank = fresh(df, "b", "s", "n", "before", "rank", also=(out,))
+    many = F.lit(buckets) if isinstance(buckets, int) else buckets
+    bucket = F.pmod(F.xxhash64(F.lit(12), row), many.cast("long"))
+    df = df.withColumns({b: bucket, s: F.floor(bucket / _SUPER)})
+    counts = df.groupBy(*group, s, b).agg(F.count(F.lit(1)).alias(n))
+    former = lambda w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    above = counts.groupBy(*group, s).agg(F.sum(n).alias(n))
+    above = above.withColumn(before, former(Window.partitionBy(*group).orderBy(s))).drop(n)
+    begin = counts.withColumn(rank, former(Window.partitionBy(*group, s).orderBy(b))).join(above, [*group, s])
+    begin = begin.select(*group, b, (F.col(before) + F.col(rank)).alias(before))
+    within = Window.partitionBy(*group, b).orderBy(row)
+    ranked = df.drop(s).withColumn(rank, F.row_number().over(within) - 1)
+    return ranked.join(begin, [*group, b]).withColumn(out, (F.col(before) + F.col(rank)).cast("long")).drop(b, rank, before)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -92,6 +84,58 @@ def _stars(e: DataFrame) -> bool:
     return bad.isEmpty()
 
 
+def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least member of each row's component under the links a-b."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+    return root
+
+
+def grouped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """Apply ``run`` to Arrow tables of whole tasks: rows of one task number follow one another,
+    and a task has a bounded number of rows."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            task = table.column("task").to_numpy()
+            last = int(np.searchsorted(task, task[-1], "left"))
+            if last:
+                yield from run(table.slice(0, last).combine_chunks()).to_batches()
+            rest = table.slice(last)
+        if rest is not None and rest.num_rows:
+            yield from run(rest.combine_chunks()).to_batches()
+
+    return df.repartition("task").sortWithinPartitions("task").mapInArrow(apply, schema)
+
+
+def in_blocks(df: DataFrame, group: str, size: Column, rep: str = "rep") -> DataFrame:
+    """Deal each group out as tasks, one for each pair of its blocks; adds task, block, and whether a task has two blocks.
+    ``size`` is the number of blocks."""
+    df = df.withColumn("_of", size.cast("int")).withColumn("block", F.pmod(F.xxhash64(F.lit(3), rep), F.col("_of").cast("long")).cast("int"))
+    df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    i, j = F.least("block", "_other"), F.greatest("block", "_other")
+    return df.withColumns({"task": F.xxhash64(F.lit(4), group, i, j), "two": i != j}).drop("_of", "_other")
+
+
+def bounds_of(task: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1, [len(task)]])
+
+
 def with_columns(df: DataFrame, run, added: str, text: str, keep: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` with columns that ``run`` makes from a batch of one column's values.
 

@@ -11,14 +11,18 @@ token, down to a limited depth, and compared in blocks after that.  Runs are rep
 as often as the target recall needs at that depth, with the sketch's coordinates shared
 by the splits of all runs: misses of a pair at the threshold are fewer than 1 - RECALL.
 
-Comparing in a node is brute force on sketches of 48 sampled tokens with a floor far
-below the threshold; it yields no pairs but a spanning forest of candidates, whose
-components are clusters.  Exact sets are then made once for each clustered document,
-and every pair within a cluster is checked exactly, in blocks of bounded size; a task
-returns link counts and a spanning forest of exact links.
-
-Null texts and texts without words link with nothing.  Rows that repeat a doc_id with
-its text are copies; with other texts they share that id's class and links.
+Comparing in a node is brute force on sketches of 96 sampled tokens, with a floor that a
+pair at the threshold misses with a probability below FLOOR_MISS; it yields no pairs but
+a spanning forest of candidates, whose components are clusters.  Exact sets are then made
+once for each clustered document and parted by size, as linked sets differ in size by a
+fifth at most; a set also visits the next larger size.  Every pair of a part is checked
+exactly, in blocks of bounded size; a task returns link counts and a spanning forest of
+exact links.
+
+Null texts and texts without words link with nothing; each is a class of its own.  Rows
+are told apart by themselves, not by their key: rows that repeat a key with its text are
+copies, of which one is kept, and rows that share a key with other texts are documents of
+their own.  A null key is the least of all keys.  Columns but key and text are not used.
 """
 
 from __future__ import annotations
@@ -28,15 +32,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from causegraph.llm.bpe import _slices
-from causegraph.llm.common import components, documents, stored
+from causegraph.llm.common import bounds_of, components, documents, grouped, in_blocks, roots_of, row_ids
+from causegraph.storage import stored
 
 WORDS, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.99999, 3
-COORDINATES, FLOOR = 48, 22  # 22 or fewer agreements of 48 have probability 1.7e-7 at similarity 0.8
+COORDINATES, FLOOR_MISS = 96, 1e-7
 LIKENESS = 4  # so many of the coordinates judge nodes, the others split them
 NODE, ALIKE = 512, 0.25
+BLOCK = 1024  # rows of a task's block; a task compares two
 SLICE_BYTES = 2 << 20
 
 _U = np.uint64
@@ -46,17 +52,25 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
+def _chance(k: int, n: int, p: float) -> float:
+    return math.comb(n, k) * p**k * (1 - p) ** (n - k)
+
+
+def floor(threshold: float = THRESHOLD, miss: float = FLOOR_MISS) -> int:
+    """Agreements of two sketches that are too few: a pair at the threshold has no more with a probability below ``miss``."""
+    total, k = 0.0, -1
+    while (total := total + _chance(k + 1, COORDINATES, threshold)) < miss:
+        k += 1
+    return k
+
+
 def missed(n_runs: float, threshold: float = THRESHOLD, depth: int = DEPTH) -> float:
     """Probability that a pair at the threshold was not compared, or not above the floor, after so many runs in which
     every node split down to ``depth``. Splits of all runs share the sketch's coordinates, so a pair that agrees in few
     of them is missed in many runs: the expectation is over the number of coordinates it agrees in."""
-
-    def chance(k: int, n: int) -> float:
-        return math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k)
-
     shared = COORDINATES - LIKENESS
-    apart = sum(chance(k, shared) * (1 - threshold * (k / shared) ** (depth - 1)) ** n_runs for k in range(shared + 1))
-    return apart + sum(chance(k, COORDINATES) for k in range(FLOOR + 1))
+    apart = sum(_chance(k, shared, threshold) * (1 - threshold * (k / shared) ** (depth - 1)) ** n_runs for k in range(shared + 1))
+    return apart + sum(_chance(k, COORDINATES, threshold) for k in range(floor(threshold) + 1))
 
 
 def runs(threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> int:
@@ -151,112 +165,68 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def signatures(df: DataFrame, key: str, text: str, n_runs: int) -> DataFrame:
-    """Rows (key, f1, f2, chosen, sketch); null but for the key where a text has no words."""
+    """Rows (key, h, f1, f2, chosen, sketch), h a hash of the text as it stands; null but for key and h where a text has no words."""
     times = _odd(COORDINATES + n_runs, 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, 1, SLICE_BYTES):
-                s = Shingles(part.column(1).to_pylist())
+            for part in _slices(batch, 2, SLICE_BYTES):
+                s = Shingles(part.column(2).to_pylist())
                 has = np.flatnonzero(np.diff(s.first))
-                at = pa.array(np.where(np.isin(np.arange(part.num_rows), has), np.cumsum(np.isin(np.arange(part.num_rows), has)) - 1, -1))
-                at = pa.compute.if_else(pa.compute.less(at, 0), None, at)
+                place = np.full(part.num_rows, -1)
+                place[has] = np.arange(len(has))
+                at = pa.array(place, mask=place < 0)
                 low = s.least(times) if len(has) else np.zeros((0, len(times)), _U)
                 chosen = pa.FixedSizeListArray.from_arrays(_signed(np.ascontiguousarray(_mix(low[:, COORDINATES:])).ravel()), n_runs).cast(pa.list_(pa.int64()))
                 sketch = np.ascontiguousarray((_mix(low[:, :COORDINATES]) >> _U(48)).astype(np.uint16))
                 sketch = pa.array([r.tobytes() for r in sketch], pa.binary())
                 f = [_signed(np.ascontiguousarray(s.sequence[i, has])) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(x.take(at) for x in (*f, chosen, sketch))], ["key", "f1", "f2", "chosen", "sketch"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *(x.take(at) for x in (*f, chosen, sketch))], ["key", "h", "f1", "f2", "chosen", "sketch"])
 
-    import pyarrow.compute  # noqa: F401
+    kind = df.schema[key].dataType.simpleString()
+    return _keyed(df, key, text).mapInArrow(run, f"key {kind}, h long, f1 long, f2 long, chosen array<long>, sketch binary")
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, f1 long, f2 long, chosen array<long>, sketch binary")
 
+def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key).alias("key"), F.xxhash64(F.lit(8), F.col(text)).alias("h"), F.col(text).alias("text"))
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least member of each row's component under the links a-b."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-    return root
 
+def _alike(most: int) -> Callable[[pa.Table], pa.Table]:
+    """Candidates among the rows of each task, by more than ``most`` agreements of sketches: (a, b) edges of a forest."""
 
-def _grouped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """Apply ``run`` to Arrow tables of whole tasks: rows of one task number follow one another,
-    and a task has a bounded number of rows."""
+    def run(table: pa.Table) -> pa.Table:
+        task, rep = table.column("task").to_numpy(), table.column("rep").to_numpy()
+        block, two = table.column("block").to_numpy(), table.column("two").to_numpy(zero_copy_only=False)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(rep), -1)
+        bounds = bounds_of(task)
+        size = np.diff(bounds)
+        small = np.repeat(size <= 32, size)
+        left, right = [], []
+
+        def check(i: np.ndarray, j: np.ndarray) -> None:
+            fit = (~two[i]) | (block[i] != block[j])
+            i, j = i[fit], j[fit]
+            ok = (sketch[i] == sketch[j]).sum(1) > most
+            left.append(i[ok])
+            right.append(j[ok])
+
+        rows = np.flatnonzero(small)
+        for d in range(1, 32):  # all pairs of small tasks at once, by distance
+            i = rows[rows + d < len(task)]
+            i = i[task[i] == task[i + d]]
+            if not len(i):
+                break
+            check(i, i + d)
+        for a, b in zip(bounds[:-1][size > 32], bounds[1:][size > 32]):
+            for i in range(a, b - 1):
+                j = np.arange(i + 1, b)
+                check(np.full(len(j), i), j)
+        i, j = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
+        root = roots_of(len(rep), i, j)
+        at = np.flatnonzero(root != np.arange(len(rep)))
+        return pa.table({"a": pa.array(rep[at]), "b": pa.array(rep[root[at]])})
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            task = table.column("task").to_numpy()
-            last = int(np.searchsorted(task, task[-1], "left"))
-            if last:
-                yield from run(table.slice(0, last).combine_chunks()).to_batches()
-            rest = table.slice(last)
-        if rest is not None and rest.num_rows:
-            yield from run(rest.combine_chunks()).to_batches()
-
-    return df.repartition("task").sortWithinPartitions("task").mapInArrow(apply, schema)
-
-
-def _in_blocks(df: DataFrame, group: str, size: Column, rep: str = "rep") -> DataFrame:
-    """Deal each group out as tasks, one for each pair of its blocks; adds task, block, and whether a task has two blocks.
-    ``size`` is the number of blocks."""
-    df = df.withColumn("_of", size.cast("int")).withColumn("block", F.pmod(F.xxhash64(F.lit(3), rep), F.col("_of").cast("long")).cast("int"))
-    df = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
-    i, j = F.least("block", "_other"), F.greatest("block", "_other")
-    return df.withColumns({"task": F.xxhash64(F.lit(4), group, i, j), "two": i != j}).drop("_of", "_other")
-
-
-def _bounds(task: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1, [len(task)]])
-
-
-def _alike(table: pa.Table) -> pa.Table:
-    """Candidates among the rows of each task, by agreement of sketches: (a, b) edges of a forest."""
-    task, rep = table.column("task").to_numpy(), table.column("rep").to_numpy()
-    block, two = table.column("block").to_numpy(), table.column("two").to_numpy(zero_copy_only=False)
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(rep), -1)
-    bounds = _bounds(task)
-    size = np.diff(bounds)
-    small = np.repeat(size <= 32, size)
-    left, right = [], []
-
-    def check(i: np.ndarray, j: np.ndarray) -> None:
-        fit = (~two[i]) | (block[i] != block[j])
-        i, j = i[fit], j[fit]
-        ok = (sketch[i] == sketch[j]).sum(1) > FLOOR
-        left.append(i[ok])
-        right.append(j[ok])
-
-    rows = np.flatnonzero(small)
-    for d in range(1, 32):  # all pairs of small tasks at once, by distance
-        i = rows[rows + d < len(task)]
-        i = i[task[i] == task[i + d]]
-        if not len(i):
-            break
-        check(i, i + d)
-    for a, b in zip(bounds[:-1][size > 32], bounds[1:][size > 32]):
-        for i in range(a, b - 1):
-            j = np.arange(i + 1, b)
-            check(np.full(len(j), i), j)
-    i, j = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
-    root = _roots(len(rep), i, j)
-    at = np.flatnonzero(root != np.arange(len(rep)))
-    return pa.table({"a": pa.array(rep[at]), "b": pa.array(rep[root[at]])})
+    return run
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -274,7 +244,7 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     first = np.append(np.flatnonzero(begin), len(element))
     by_owner = np.argsort(owner, kind="stable")
     numbers, limits = number[by_owner], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
-    out = np.zeros((n, n), np.int64)
+    out = np.zeros((n, n), np.int32)
     for i in range(n):
         own = numbers[limits[i] : limits[i + 1]]
         a, c = first[own], first[own + 1] - first[own]
@@ -285,38 +255,40 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
 
 def _exact(threshold: float) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
+        rep, copies, home = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "copies", "home"))
         block, two = table.column("block").to_numpy(), table.column("two").to_numpy(zero_copy_only=False)
         sets = [np.frombuffer(b, _U) for b in table.column("shingles").to_pylist()]
         sizes = np.array([len(s) for s in sets])
         links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        bounds = _bounds(table.column("task").to_numpy())
+        bounds = bounds_of(table.column("task").to_numpy())
         for a, b in zip(bounds, bounds[1:]):
-            if b - a < 2:
+            if b - a < 2 or not home[a:b].any():
                 continue
             both = _shared(sets[a:b])
-            union = sizes[a:b, None] + sizes[None, a:b] - both
-            ok = both >= threshold * union - 1e-9
+            ok = np.zeros((b - a, b - a), bool)
+            for i in range(0, b - a, 256):
+                part = slice(a + i, min(a + i + 256, b))
+                least = threshold * (sizes[part, None] + sizes[None, a:b] - both[i : i + 256]) - 1e-9
+                ok[i : i + 256] = (both[i : i + 256] >= least) & (home[part, None] | home[None, a:b])
+                if two[a]:
+                    ok[i : i + 256] &= block[part, None] != block[None, a:b]
             np.fill_diagonal(ok, False)
-            if two[a]:
-                ok &= block[a:b, None] != block[None, a:b]
-            links[a:b] = ok @ copies[a:b]
+            links[a:b] = [copies[a:b][row].sum() for row in ok]
             i, j = np.nonzero(ok)
-            root[a:b] = a + _roots(b - a, i, j)
+            root[a:b] = a + roots_of(b - a, i, j)
         at = np.flatnonzero(links)
         return pa.table({"rep": pa.array(rep[at]), "links": pa.array(links[at]), "root": pa.array(rep[root[at]])})
 
     return run
 
 
-def _candidates(reps: DataFrame, n_runs: int) -> DataFrame:
+def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
     """Edges (a, b) of a forest over documents that agree well enough in some node."""
-    spark = reps.sparkSession
     rows = reps.select("rep", F.posexplode("chosen").alias("run", "token")).select("rep", F.xxhash64("run", "token").alias("node"))
     sketches = reps.select("rep", "sketch")
     compared: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
-        size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        size = stored(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")  # so that Spark can split a node in the join
         level = stored(rows.join(size, "node").join(sketches, "rep"), "nodes")
         large = level.where(F.col("n") > NODE)
         if depth == DEPTH or large.isEmpty():
@@ -336,42 +308,78 @@ def _candidates(reps: DataFrame, n_runs: int) -> DataFrame:
     for more in compared[1:]:
         todo = todo.unionByName(more)
     n = F.col("n")
-    blocks = F.greatest(F.ceil(n / 4096), F.least(F.lit(4), F.ceil(n / NODE)))
-    tasks = _in_blocks(todo, "node", blocks).select("task", "block", "two", "rep", "sketch")
-    return _grouped(tasks, _alike, "a long, b long")
+    blocks = F.greatest(F.ceil(n / BLOCK), F.least(F.lit(4), F.ceil(n / NODE)))
+    tasks = in_blocks(todo, "node", blocks).select("task", "block", "two", "rep", "sketch")
+    return grouped(tasks, _alike(floor(threshold)), "a long, b long")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in _slices(batch, 3, SLICE_BYTES):
+            found = Shingles(part.column(3).to_pylist()).sets()
+            size = pa.array([len(x) for x in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([x.tobytes() for x in found], pa.binary()), size], ["rep", "cluster", "copies", "shingles", "size"])
+
+
+def _links(texts: DataFrame, threshold: float) -> DataFrame:
+    """Exact links within clusters (rep, cluster, copies, text): rows (rep, links, root), several for a rep."""
+    schema = "rep long, cluster long, copies long, shingles binary, size int"
+    exact = stored(texts.mapInArrow(_sets, schema).dropDuplicates(["rep", "shingles"]), "shingles")
+    kind = F.floor(F.log(F.col("size").cast("double")) / (1e-6 - math.log(threshold)))  # linked sets are of one kind or of two that follow each other
+    parts = exact.withColumn("v", F.explode(F.array(F.struct(kind.alias("kind"), F.lit(True).alias("home")), F.struct((kind + 1).alias("kind"), F.lit(False).alias("home")))))
+    parts = parts.withColumns({"part": F.xxhash64(F.lit(9), "cluster", "v.kind"), "home": F.col("v.home")}).drop("v")
+    size = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any")).where("n > 1 and any").select("part", "n")
+    n = F.col("n")
+    blocks = F.greatest(F.ceil(n / BLOCK), F.least(F.lit(12), F.ceil(n / 128)))
+    tasks = in_blocks(parts.join(stored(size, "sizes"), "part"), "part", blocks).select("task", "block", "two", "home", "rep", "copies", "shingles")
+    return grouped(tasks, _exact(threshold), "rep long, links long, root long")
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: key, class_id (least key of all documents reachable by links), n_links (other
-    documents with a similarity of at least ``threshold``, copies included) and kept (it is the one its class keeps)."""
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Per row: key and h (a hash of its text), class_id, n_links and kept."""
     n_runs = runs(threshold)
-    signed = stored(signatures(df, key, text, n_runs), "signatures")
+    signed = stored(row_ids(signatures(df, key, text, n_runs), "row"), "signatures")
     same = ["f1", "f2"]
-    reps = signed.where("f1 is not null").groupBy(*same, "chosen", "sketch").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = stored(reps, "reps")
-    clusters = components(_candidates(reps, n_runs))
-    clusters = stored(clusters.withColumnsRenamed({"node": "rep", "root": "cluster"}).join(reps.select("rep", "copies"), "rep"), "clusters")
-    size = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch, 3, SLICE_BYTES):
-                found = [x.tobytes() for x in Shingles(part.column(3).to_pylist()).sets()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.binary())], ["rep", "cluster", "copies", "shingles"])
-
-    texts = df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(clusters, "rep").select("rep", "cluster", "copies", "text")
-    exact = stored(texts.mapInArrow(sets, "rep long, cluster long, copies long, shingles binary").dropDuplicates(["rep", "shingles"]), "shingles")
-    n = F.col("n")
-    blocks = F.greatest(F.ceil(n / 4096), F.least(F.lit(12), F.ceil(n / 128)))
-    tasks = _in_blocks(exact.join(size, "cluster"), "cluster", blocks).select("task", "block", "two", "rep", "copies", "shingles")
-    found = stored(_grouped(tasks, _exact(threshold), "rep long, links long, root long"), "links")
+    reps = signed.where("f1 is not null").groupBy(*same, "chosen", "sketch").agg(F.min(F.struct("key", "row", "h")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    reps = stored(reps.select(*same, "chosen", "sketch", "copies", F.col("first.row").alias("rep"), F.col("first.key").alias("key"), F.col("first.h").alias("h")), "reps")
+    clusters = components(_candidates(reps, threshold)).withColumnsRenamed({"node": "rep", "root": "cluster"})
+    clusters = stored(clusters.join(reps.select("rep", "copies", "key", "h"), "rep"), "clusters")
+    rows, named = _keyed(df, key, text), clusters.withColumnsRenamed({"key": "_key", "h": "_h"})
+    texts = rows.join(named, (rows.h == named._h) & rows.key.eqNullSafe(named._key)).select("rep", "cluster", "copies", "text")
+    found = stored(_links(texts, threshold), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select("rep", "root"), "rep", "root").withColumnsRenamed({"node": "rep", "root": "class"})
-    whole = reps.select(*same, "rep", "copies").join(links, "rep", "left").join(roots, "rep", "left")
-    whole = whole.select(*same, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("class", "rep").alias("class_id"))
-    out = signed.select("key", *same).join(whole, same, "left")
-    class_id = F.coalesce("class_id", "key")
-    return out.select(F.col("key").alias(key), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("key") == class_id).alias("kept"))
+    whole = stored(reps.select(*same, "rep", "copies", "key").join(links, "rep", "left").join(roots, "rep", "left"), "members")
+    first = whole.where("class is not null").groupBy("class").agg(F.min(F.struct("key", "rep")).alias("first"))
+    whole = whole.join(stored(first, "classes"), "class", "left")
+    one = F.coalesce("first", F.struct("key", "rep"))
+    whole = whole.select(*same, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.struct(one["key"].alias("key"), one["rep"].alias("row")).alias("first"))
+    out = signed.select("key", "h", "row", *same).join(whole, same, "left")
+    alone = F.col("first").isNull()
+    class_id = F.when(alone, F.col("key")).otherwise(F.col("first.key"))
+    return out.select("key", "h", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | (F.col("row") == F.col("first.row"))).alias("kept"))
+
+
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Per row: key, class_id (least key of all documents reachable by links), n_links (other
+    documents with a similarity of at least ``threshold``, copies included) and kept (it is the one its class keeps)."""
+    return classes(df, key, text, threshold).drop("h").withColumnRenamed("key", key)
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df``, with all columns, that their classes keep. Of rows that are equal in key and text one stays
+    (any, where other columns differ), unless they have no words."""
+    found = stored(classes(df, key, text, threshold), "found")
+    own, h = "_keep_key", "_keep_h"
+    each = found.groupBy("key", "h").agg(F.max("kept").alias("kept"), F.max(F.col("n_links")).alias("links"), F.count(F.lit(1)).alias("n")).where("kept")
+    each = stored(each.select(F.col("key").alias(own), F.col("h").alias(h), ((F.col("n") > 1) & (F.col("links") > 0)).alias("_keep_often")), "kept")
+    rows = df.withColumn("_h", F.xxhash64(F.lit(8), F.col(text)))
+    mine = lambda names: (F.col("_h") == names[h]) & rows[key].eqNullSafe(names[own])
+    once, often = each.where("not _keep_often"), each.where("_keep_often")
+    out = rows.join(once, mine(once), "left_semi").drop("_h")
+    if often.isEmpty():
+        return out
+    return out.unionByName(rows.join(often, mine(often), "left_semi").dropDuplicates([key, "_h"]).drop("_h"))
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

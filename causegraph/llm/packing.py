@@ -11,7 +11,8 @@ those of one length go; documents are ranked without gaps and looked up in it.
 
 Documents are token ids followed by one end id.  Longer ones than a sequence are cut
 into full pieces, of which the first may be shorter.  Null and empty texts are one
-end id.  Equal rows are packed each for itself.
+end id.  Equal rows are packed each for itself, also where their ids repeat; which of
+the documents of one length goes where depends on how the rows are stored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from causegraph.llm import bpe
-from causegraph.llm.common import documents, numbered, stored
+from causegraph.llm.common import documents, fresh, numbered, row_ids
+from causegraph.storage import stored
 
 SIZE, GRID, END_ID = 2048, 8, 0
 RANK_BUCKET = 250
@@ -197,24 +199,31 @@ def plan(histogram: dict[int, int], size: int = SIZE, grid: int = GRID) -> list[
     return out
 
 
-def pack(table: DataFrame, order: list[str], size: int = SIZE, grid: int = GRID, length: str = "length") -> DataFrame:
-    """Add sequence_id and offset to a table with a length column (1 to size)."""
+def pack(table: DataFrame, row: str, size: int = SIZE, grid: int = GRID, length: str = "length") -> DataFrame:
+    """Add sequence_id and offset (columns of these names are replaced) to a stored table with a length column
+    (1 to size); ``row`` differs in every row."""
     spark = table.sparkSession
+    table = table.drop("sequence_id", "offset")
+    own, n, a, z, seq, off, per, rank = fresh(table, "own", "n", "a", "z", "seq", "off", "per", "rank", also=("sequence_id", "offset"))
     histogram = {r[0]: r[1] for r in table.groupBy(length).agg(F.count(F.lit(1))).collect()}  # one row per length
     segments = plan(histogram, size, grid) or [(0, 0, 0, 0, 0, 1)]
-    where = spark.createDataFrame(segments, "_len long, _a long, _z long, _seq long, _off long, _per long")
-    counts = spark.createDataFrame(list(histogram.items()) or [(0, 0)], "_len long, _n long")
-    counted = table.join(F.broadcast(counts), table[length] == F.col("_len")).drop("_len")  # at most `size` rows
-    ranked = numbered(counted, [length], order, "_rank", F.ceil(F.col("_n") / RANK_BUCKET)).drop("_n")
-    at = F.col("_rank") - F.col("_a")
-    joined = ranked.join(F.broadcast(where), (ranked[length] == F.col("_len")) & (F.col("_rank") >= F.col("_a")) & (F.col("_rank") < F.col("_z")))  # bounded by `size`
-    return joined.withColumns({"sequence_id": F.col("_seq") + F.floor(at / F.col("_per")), "offset": F.col("_off") + (at % F.col("_per")) * F.col(length)}).drop("_len", "_a", "_z", "_seq", "_off", "_per", "_rank")
+    where = spark.createDataFrame(segments, ", ".join(f"{c} long" for c in (own, a, z, seq, off, per)))
+    counts = spark.createDataFrame(list(histogram.items()) or [(0, 0)], f"{own} long, {n} long")
+    counted = table.join(F.broadcast(counts), table[length] == F.col(own)).drop(own)  # at most `size` rows
+    ranked = numbered(counted, [length], row, rank, F.ceil(F.col(n) / RANK_BUCKET)).drop(n)
+    here = (ranked[length] == F.col(own)) & (F.col(rank) >= F.col(a)) & (F.col(rank) < F.col(z))
+    joined = ranked.join(F.broadcast(where), here)  # bounded by `size`
+    at = F.col(rank) - F.col(a)
+    placed = {"sequence_id": F.col(seq) + F.floor(at / F.col(per)), "offset": F.col(off) + (at % F.col(per)) * F.col(length)}
+    return joined.withColumns(placed).drop(own, a, z, seq, off, per, rank)
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    """Pieces of all documents with the place of each; ids are reduced to their crc32 before rows move."""
+    """Pieces of all documents with the place of each; ids are reduced to their crc32 before rows move.
+    Of the documents only doc_id and text are used; other columns go."""
     cut = pieces(docs.select("doc_id", "text"))
-    return pack(stored(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"), ["doc_id", "piece", "ids_crc32"])
+    cut = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return pack(stored(row_ids(cut, "row"), "pieces"), "row").drop("row")
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:

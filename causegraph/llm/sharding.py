@@ -6,14 +6,17 @@ where they are.  Sizes, scores and checksums are one projection of Spark functio
 made once and stored; only that narrow table is numbered.
 
 A null key is a key like any other.  Null texts have no bytes.  Rows with equal keys
-go to one shard, and rows equal in key, size and checksum get slots in any order.
+go to one shard; each row has a slot of its own, whatever it repeats, and which one
+depends on how the rows are stored.  ``shard`` keeps all columns but replaces ``shard``
+and ``grown_shard``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from causegraph.llm.common import crc, documents, numbered, stored
+from causegraph.llm.common import crc, documents, numbered, row_ids
+from causegraph.storage import stored
 
 SHARDS, OVERHEAD = 40, 16
 SLOT_BUCKET = 1000
@@ -34,13 +37,14 @@ def shard(df: DataFrame, key: str = "doc_id", weights: list[float] | None = None
     return out if grown is None else out.withColumn("grown_shard", shard_of(F.col(key), [*weights, grown]))
 
 
-def slots(df: DataFrame, order: list[str]) -> DataFrame:
-    """Number each shard's rows from 0 without gaps; ``df`` should be a stored table."""
-    per_shard = -(-df.count() // SHARDS)
-    return numbered(df, ["shard"], order, "slot", max(1, -(-per_shard // SLOT_BUCKET)))
+def slots(df: DataFrame, row: str, shards: int = SHARDS) -> DataFrame:
+    """Number each shard's rows from 0 without gaps; ``df`` is a stored table, ``row`` a column that differs in every row."""
+    per_shard = -(-df.count() // shards)
+    return numbered(df, ["shard"], row, "slot", max(1, -(-per_shard // SLOT_BUCKET)))
 
 
 def op5_rendezvous_sharding(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
-    narrow = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"), crc("text").cast("long").alias("text_crc32"), F.lit("key").alias("law"))
-    return slots(stored(shard(narrow), "shards"), ["doc_id", "text_crc32", "size"])
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long")
+    narrow = shard(docs.select("doc_id", size.alias("size"), crc("text").cast("long").alias("text_crc32"), F.lit("key").alias("law")))
+    return slots(stored(row_ids(narrow, "row"), "shards"), "row").drop("row")
