@@ -1,35 +1,44 @@
 """Operator 10: near-duplicate embeddings by spherical k-means cells.
 
-Equal vectors of a label are first reduced to one with a count.  Centroids come from
-spherical k-means on a bounded sample; every vector goes to the cell of its nearest
-centroid, its home.  Two vectors at an angle of at most t have homes that neither is
-more than 2t farther from than from its own, so each vector also visits the earlier
-cells that near: no linked pair is missed.  Within a cell, homes are compared with
-homes and visitors by blocked cosine products in double precision.  A cell of any
-size is dealt out as pairs of blocks of bounded size; a task returns link counts and
-a spanning forest of the links it found, never the pairs themselves.
-
-The number of cells is raised with the table as long as a vector of the sample visits
-few cells on average: with vectors that form no clusters more cells would only copy.
+Equal vectors of a label are first reduced to one with a count.  The vectors of a label
+and dimension are a cell to begin with.  A cell of more than CELL_ROWS vectors is split by
+spherical k-means, whose centroids are fitted on a bounded sample of the cell; cells that
+are still too large are split again, level by level, so their number grows with the table
+while a task holds the centroids of one cell only.  Within a split every vector goes to the
+cell of its nearest centroid, its home.  Two vectors at an angle of at most t have homes
+that neither is more than 2t farther from than from its own, so each vector also visits
+the earlier cells that near: no linked pair is missed.  A pair meets as visitors only, at
+some level, in all cells but one.  Within a cell all others are compared by blocked cosine
+products in double precision.  A cell of any size is dealt out as pairs of blocks of
+bounded size; a task returns link counts and a spanning forest of the links it found,
+never the pairs themselves.
+
+A cell whose vectors would visit many cells on average is not split: with vectors that
+form no clusters more cells would only copy.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing,
-nor do those without a label; vectors of unequal dimension aren't compared.  Rows
-that repeat a vector are vectors of their own, linked with each other.
+nor do those without a label; vectors of unequal dimension aren't compared.  Vectors are
+scaled by their largest component first, so no norm overflows or vanishes.  Rows that
+repeat a vector are vectors of their own, linked with each other, also where they repeat
+the vec_id.  Columns but these three are not used.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from causegraph.llm.common import components, stored
+from causegraph.llm.common import bounds_of, components, grouped, in_blocks, roots_of, row_ids
+from causegraph.storage import stored
 
 LEAST_COSINE = 0.98
-#: Expected rows of the sample for the centroids, and limits of their number.
-SAMPLE_ROWS, MOST_CELLS, CELL_ROWS, VISITS, ROUNDS = 10_000, 1024, 2000, 3.0, 8
-BLOCK = 2048
+#: A cell's rows before it is split, expected rows of the sample its centroids are fitted on, their number, and the levels.
+CELL_ROWS, SAMPLE_ROWS, CELLS, LEVELS = 1000, 10_000, 1024, 8
+VISITS, ROUNDS = 3.0, 8
+BLOCK, ASSIGN_ROWS = 1024, 20_000
 _SLACK = 1e-6
 
 
@@ -54,14 +63,21 @@ def _visits(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.
     return home, near & (np.arange(len(c)) < home[:, None])
 
 
-def _unit(values) -> np.ndarray:
-    x = np.stack(values).astype(np.float64)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def centroids(sample: np.ndarray, rows: int, reach: float) -> np.ndarray:
+def _matrix(vectors: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return _unit(flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+
+
+def centroids(sample: np.ndarray, rows: int, reach: float, cell_rows: int = CELL_ROWS) -> np.ndarray:
+    """Centroids for a cell of so many rows; a single one if a split would make its vectors visit too many cells."""
     k, best = 1, None
-    while k <= MOST_CELLS and (k == 1 or (k - 1) * CELL_ROWS < 8 * rows and k <= len(sample)):
+    while k <= CELLS and (k == 1 or (k - 1) * cell_rows < 4 * rows and k <= len(sample)):
         c = spherical_kmeans(sample, k)
         if k > 1 and np.mean([_visits(sample[a : a + 1024], c, reach)[1].sum(1).mean() for a in range(0, len(sample), 1024)]) > VISITS:
             break
@@ -70,90 +86,124 @@ def centroids(sample: np.ndarray, rows: int, reach: float) -> np.ndarray:
     return best
 
 
-def _links(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Per vector of two blocks (or one): rows it links with, and the smallest id of its piece of the links found."""
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    pdf = pdf.sort_values("rep", kind="stable")
-    ids, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
-    home, block = pdf["home"].to_numpy(), pdf["block"].to_numpy()
-    x = _unit(pdf["embedding"])
-    n = len(ids)
-    linked = np.zeros((n, n), bool)
-    for a in range(0, n, 512):
-        b = a + 512
-        ok = x[a:b] @ x.T >= least
-        ok &= home[a:b, None] | home[None, :]  # two visitors meet in another cell
-        if i != j:
-            ok &= block[a:b, None] != block[None, :]  # pairs within a block have their own task
-        linked[a:b] = ok
-    np.fill_diagonal(linked, False)
-    found = np.flatnonzero(linked.any(1))
-    root = np.arange(n)
-    while len(found):
-        low = np.concatenate([np.where(linked[part], root[None, :], n).min(1) for part in np.array_split(found, -(-len(found) // 512))])
-        new = root.copy()
-        new[found] = np.minimum(root[found], low)
-        new = new[new]
-        if (new == root).all():
+def _split(cells: DataFrame, large: DataFrame, level: int, reach: float, cell_rows: int) -> DataFrame:
+    """Rows of ``cells`` in the cells named by ``large`` (cell, n), each in its home and the cells it visits."""
+    kind = cells.schema["embedding"].dataType.simpleString()
+    rows = cells.join(large, "cell")
+    chosen = F.pmod(F.xxhash64(F.lit(100 + level), "rep"), F.lit(1 << 30)) < SAMPLE_ROWS / F.col("n") * (1 << 30)
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        c = centroids(_matrix(table["embedding"], table["dim"][0].as_py()), table["n"][0].as_py(), reach, cell_rows)
+        return pa.table({"cell": table["cell"][:1], "n": table["n"][:1], "centres": pa.array([c.tobytes()], pa.binary())})
+
+    sample = rows.where(chosen).select("cell", "n", "rep", "dim", "embedding")
+    centres = stored(sample.groupBy("cell").applyInArrow(fit, "cell long, n long, centres binary"), "centres")
+    tasks = F.ceil(F.col("n") / ASSIGN_ROWS)
+    task = lambda number: F.xxhash64(F.lit(11), "cell", number)
+    heads = centres.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)).alias("number"), "centres")
+    heads = heads.select(task(F.col("number")).alias("task"), F.lit(-1).cast("long").alias("rep"), "centres")
+    columns = ["rep", "copies", "embedding", "dim", "cell", "visits"]
+    dealt = rows.select(task(F.pmod(F.xxhash64(F.lit(13), "rep"), tasks)).alias("task"), *columns, F.lit(None).cast("binary").alias("centres"))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.zeros((1, 1))
+        for batch in batches:
+            bounds = bounds_of(batch.column("task").to_numpy()) if batch.num_rows else [0]
+            for a, b in zip(bounds, bounds[1:]):
+                part = batch.slice(a, b - a)
+                raw = part.column("centres")[0].as_py()
+                if raw is not None:  # the first row of a task
+                    centre, part = np.frombuffer(raw), part.slice(1)
+                if not part.num_rows:
+                    continue
+                dim = part.column("dim")[0].as_py()
+                home, near = _visits(_matrix(part.column("embedding"), dim), centre.reshape(-1, dim), reach)
+                own, other = np.nonzero(near)
+                take = np.concatenate([np.arange(len(home)), own])
+                out = part.select(columns).take(pa.array(take))
+                bit = np.where(np.arange(len(take)) < len(home), 0, 1 << level)
+                visits = pa.array(out.column("visits").to_numpy() | bit)
+                yield pa.RecordBatch.from_arrays([*out.columns[:-1], visits, pa.array(np.concatenate([home, other]), pa.int64())], [*columns, "sub"])
+
+    both = dealt.unionByName(heads, allowMissingColumns=True).repartition("task").sortWithinPartitions("task", "rep")
+    split = both.mapInArrow(assign, f"rep long, copies long, embedding {kind}, dim int, cell long, visits long, sub long")
+    return split.withColumn("cell", F.xxhash64("cell", "sub")).drop("sub")
+
+
+def _in_cells(vectors: DataFrame, reach: float, cell_rows: int) -> DataFrame:
+    """Rows (rep, copies, embedding, dim, cell, visits); bit k of ``visits`` says that a row is a visitor at level k."""
+    cells = stored(vectors.withColumn("visits", F.lit(0).cast("long")), "cells")
+    for level in range(LEVELS):
+        sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        large = sizes.where(F.col("n") > cell_rows)
+        if level:  # a cell that the last split left whole is not split again
+            large = large.join(before, ["cell", "n"], "left_anti")
+        large = stored(large, "large")
+        if large.isEmpty():
             break
-        root = new
-    return pd.DataFrame({"rep": ids[found], "links": (linked[found] @ copies).astype(np.int64), "root": ids[root[found]]})
-
-
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = LEAST_COSINE) -> DataFrame:
-    """Per row: key, n_links, component_id, kept."""
+        before = large.select(F.xxhash64("cell", F.lit(0).cast("long")).alias("cell"), "n")
+        split = _split(cells, large, level, reach, cell_rows)
+        cells = stored(cells.join(large.select("cell"), "cell", "left_anti").unionByName(split), "cells")
+    return cells
+
+
+def _links(least: float):
+    """Per vector of a task: rows it links with, and a vector of its piece of the links found."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, copies, visits = (table.column(c).to_numpy() for c in ("rep", "copies", "visits"))
+        block, two = table.column("block").to_numpy(), table.column("two").to_numpy(zero_copy_only=False)
+        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        bounds = bounds_of(table.column("task").to_numpy())
+        for a, b in zip(bounds, bounds[1:]):
+            if b - a < 2:
+                continue
+            x = _matrix(table.column("embedding").slice(a, b - a), table.column("dim")[a].as_py())
+            linked = np.zeros((b - a, b - a), bool)
+            for i in range(0, b - a, 512):
+                part = slice(a + i, min(a + i + 512, b))
+                ok = x[i : i + 512] @ x.T >= least
+                ok &= (visits[part, None] & visits[None, a:b]) == 0  # two visitors meet in another cell
+                if two[a]:
+                    ok &= block[part, None] != block[None, a:b]  # pairs within a block have their own task
+                linked[i : i + 512] = ok
+            np.fill_diagonal(linked, False)
+            links[a:b] = [copies[a:b][row].sum() for row in linked]
+            i, j = np.nonzero(linked)
+            root[a:b] = a + roots_of(b - a, i, j)
+        at = np.flatnonzero(links)
+        return pa.table({"rep": pa.array(ids[at]), "links": pa.array(links[at]), "root": pa.array(ids[root[at]])})
+
+    return run
+
+
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = LEAST_COSINE, cell_rows: int = CELL_ROWS, block: int = BLOCK) -> DataFrame:
+    """Per row: key, n_links, component_id, kept. Cells of more than ``cell_rows`` vectors are split; a task compares two blocks."""
     reach = float(np.arccos(least))
     v = F.col(vector)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     valid = F.coalesce(F.col(label).isNotNull() & v.isNotNull() & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0), F.lit(False))
     same = lambda seed: F.when(valid, F.xxhash64(F.lit(seed), label, vector))
     rows = df.select(F.col(key).cast("long").alias("vec_id"), v.alias("embedding"), F.col(label).alias("label"), same(1).alias("h1"), same(2).alias("h2"))
-    reps = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("embedding", "label"), "vec_id").alias("v"))
-    reps = stored(reps.select("h1", "h2", "rep", "copies", F.col("v.embedding").alias("embedding"), F.col("v.label").alias("label"), F.size("v.embedding").alias("dim")), "vectors")
-
-    total = reps.count()
-    usual = reps.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    dim = usual["dim"] if usual else 0
-    share = min(1.0, SAMPLE_ROWS / max(total, 1))
-    chosen = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = reps.where(chosen & (F.col("dim") == dim)).select("rep", "embedding").collect()
-    sample = [r.embedding for r in sorted(sample, key=lambda r: r.rep)]
-    c = centroids(_unit([np.array(e) for e in sample]), total, reach) if sample else np.zeros((1, max(dim, 1)))
-    held = df.sparkSession.sparkContext.broadcast(c)  # MOST_CELLS rows at most
-
-    def assign(batches):
-        centres = held.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            dims = batch.column("dim").to_numpy()
-            own = [[(0, True)] for _ in dims]
-            at = np.flatnonzero(dims == centres.shape[1])
-            for part in np.array_split(at, -(-len(at) // 1024)) if len(at) else []:
-                raw = batch.column("embedding").take(pa.array(part)).flatten().to_numpy(zero_copy_only=False)
-                home, near = _visits(_unit(raw.reshape(len(part), -1)), centres, reach)
-                for i, h, mask in zip(part, home, near):
-                    own[i] = [(int(h), True), *((int(g), False) for g in np.flatnonzero(mask))]
-            take = pa.array([i for i, o in enumerate(own) for _ in o], pa.int32())
-            yield pa.RecordBatch.from_arrays([*(col.take(take) for col in batch.columns), pa.array([x for o in own for x, _ in o], pa.int32()), pa.array([x for o in own for _, x in o])], [*batch.schema.names, "cell", "home"])
-
-    vectors = reps.select("rep", "copies", "embedding", "label", "dim")
-    kind = f"rep long, copies long, embedding {reps.schema['embedding'].dataType.simpleString()}, label {reps.schema['label'].dataType.simpleString()}, dim int"
-    cells = stored(vectors.mapInArrow(assign, f"{kind}, cell int, home boolean"), "cells")
-    where = ["label", "dim", "cell"]
-    blocks = cells.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    dealt = cells.join(blocks, where).withColumn("block", F.pmod(F.xxhash64(F.lit(10), "rep"), F.col("blocks").cast("long")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    found = dealt.select(*where, "i", "j", "block", "home", "rep", "copies", "embedding").groupBy(*where, "i", "j").applyInPandas(lambda pdf: _links(pdf, least), "rep long, links long, root long")
-    found = stored(found, "links")
+    reps = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("embedding", "label")).alias("v"))
+    reps = reps.select("h1", "h2", "least", "copies", F.col("v.embedding").alias("embedding"), F.col("v.label").alias("label"), F.size("v.embedding").alias("dim"))
+    reps = stored(row_ids(reps, "rep"), "vectors")
+
+    cells = _in_cells(reps.select("rep", "copies", "embedding", "dim", F.xxhash64(F.lit(14), "label", "dim").alias("cell")), reach, cell_rows)
+    sizes = stored(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    n = F.col("n")
+    tasks = in_blocks(cells.join(sizes, "cell"), "cell", F.ceil(n / block)).select("task", "block", "two", "rep", "copies", "visits", "dim", "embedding")
+    found = stored(grouped(tasks, _links(least), "rep long, links long, root long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select("rep", "root"), "rep", "root").withColumnsRenamed({"node": "rep", "root": "component"})
-    whole = reps.select("h1", "h2", "rep", "copies").join(links, "rep", "left").join(roots, "rep", "left")
-    whole = whole.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    whole = stored(reps.select("h1", "h2", "rep", "copies", "least").join(links, "rep", "left").join(roots, "rep", "left"), "members")
+    first = stored(whole.where("component is not null").groupBy("component").agg(F.min("least").alias("first")), "components")
+    whole = whole.join(first, "component", "left")
+    whole = whole.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "least").alias("component_id"))
     out = rows.select("vec_id", "h1", "h2").join(whole, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select(F.col("vec_id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select(F.col("vec_id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def op10_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
