@@ -11,7 +11,8 @@ Each text is scored whole.
 
 Null texts and texts without a letter are ``und`` with score 0.  Without learnable
 rows all are.  Rows with a null language teach nothing but are scored.  Equal texts
-get equal results.
+get equal results, however often they are repeated; of languages that are equally likely
+the first in alphabetical order is predicted.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ TRAIN_ROWS = 4000
 #: A language has at least so many rows in the sample, or all of its rows.
 LEAST_ROWS = 100
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.02, 0.5
-HELD_BACK = 5  # every fifth row of the sample calibrates
+HELD_BACK = 5  # every fifth row of a language's sample calibrates
 SLICE = 1 << 22
 
 _LETTER: list[np.ndarray] = []
@@ -113,7 +114,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], idf: np.nd
     z, n = np.zeros((d, k)), np.zeros((d, k))
     zb, nb = np.zeros(k), np.zeros(k)
     order = np.random.default_rng(8)
-    back = np.arange(len(rows)) % HELD_BACK == HELD_BACK - 1
+    seen = [0] * k
+    back = np.zeros(len(rows), bool)
+    for i, c in enumerate(y):
+        seen[c] += 1
+        back[i] = seen[c] % HELD_BACK == 0
     learn = np.flatnonzero(~back)
 
     def leader(z, n, l1):

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from causegraph.llm import bpe, embeddings, jaccard, langid, lines, packing, quality, sharding, toxicity, warc
 
 
 def queries() -> dict:
     return {
-        "pipeline": corpus_pipeline.run,
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_line_dedup": lines.op2_line_dedup,
         "op3_quality_rules": quality.op3_quality_rules,
