@@ -7,8 +7,14 @@ kept; all but the last return the columns of ``documents``.
 2. toxicity: documents with a score of 0.5 or more go.
 3. line_dedup: later occurrences of three-line windows are cut out of the texts; a
    document of which nothing is left goes, one that was blank before stays.
-4. near_dedup: one document stays of each group linked by a Jaccard similarity of 0.8.
+4. near_dedup: one document stays of each group linked by a Jaccard similarity of 0.8,
+   and one of rows that are repeated with their doc_id.
 5. packing: the documents' tokens, cut and packed into sequences of 2048.
+
+Columns that ``documents`` has beyond COLUMNS are left out. Null and empty texts have no
+language and go in the first stage; without labels no text is toxic; an empty table stays
+empty. Rows that share a doc_id but not the text are documents of their own, except that
+line_dedup, which goes by doc_id, takes them for one.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from causegraph.llm import jaccard, langid, lines, packing, toxicity
-from causegraph.llm.common import shared_root
+from causegraph.storage import shared_root
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: With less probability than this a language counts as not recognised.
@@ -38,12 +44,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = lines.remove_repeats(docs.select(*COLUMNS))
-    return out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    left = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = jaccard.join(docs).where("not kept").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return jaccard.keep_one(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
