@@ -345,7 +345,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     clusters = components(_candidates(reps, threshold)).withColumnsRenamed({"node": "rep", "root": "cluster"})
     clusters = stored(clusters.join(reps.select("rep", "copies", "key", "h"), "rep"), "clusters")
     rows, named = _keyed(df, key, text), clusters.withColumnsRenamed({"key": "_key", "h": "_h"})
-    texts = rows.join(named, (rows.h == named._h) & rows.key.eqNullSafe(named._key)).select("rep", "cluster", "copies", "text")
+    # All texts move once here, at every size: what is joined to them grows with the table.
+    texts = rows.join(named.hint("merge"), (rows.h == named._h) & rows.key.eqNullSafe(named._key)).select("rep", "cluster", "copies", "text")
     found = stored(_links(texts, threshold), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select("rep", "root"), "rep", "root").withColumnsRenamed({"node": "rep", "root": "class"})
