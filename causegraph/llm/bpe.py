@@ -38,7 +38,7 @@ VOCABULARY = "byte_bpe_50k.json"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 WINDOW, AVERAGE, LARGEST = 16, 1024, 16_384
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 32 << 20
 
 #: Seams: between a character that is no white space and one that is, and between a letter or digit and punctuation, among
 #: characters that have been of these kinds in all versions of Unicode. Words don't end before an apostrophe's letters alone.

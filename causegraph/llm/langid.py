@@ -34,7 +34,7 @@ TRAIN_ROWS = 4000
 LEAST_ROWS = 100
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.02, 0.5
 HELD_BACK = 5  # every fifth row of a language's sample calibrates
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 _LETTER: list[np.ndarray] = []
 
