@@ -115,6 +115,11 @@ def language_code(c: Column | str, supported: list[str], aliases: dict[str, str]
     return F.when(got.isin(supported), got)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once for each row, not once for each use in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scoring_text(c: Column | str) -> Column:
     """Lower case, punctuation as spaces, single spaces (Unicode letters and digits stay)."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(col(c)), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))

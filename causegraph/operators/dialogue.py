@@ -19,10 +19,47 @@ def running_text(df: DataFrame, key: str, order: str, text: str = "text") -> Dat
     return df.withColumns({"chunks": F.row_number().over(w).cast("long"), "all_text": F.concat(F.lit(" "), F.array_join(F.collect_list(F.coalesce(text, F.lit(""))).over(upto), " "))})
 
 
+def _overlaps_itself(word: str) -> bool:
+    return any(word.startswith(word[k:]) for k in range(1, len(word)))
+
+
+def running_mentions(df: DataFrame, key: str, order: str, words: list[str], out: str, text: str = "text") -> DataFrame:
+    """Adds how often the words occur, in lower case, in the running text up to each event, without building it.
+
+    An event adds what lies in its own text and across the joint with the former one, for which
+    the last characters of the running text, fewer than the longest word has, are enough.  Every
+    event has at least its leading space, so as many former events hold them.  A word that
+    overlaps itself could be counted otherwise there and is refused.
+    """
+    if odd := [w for w in words if _overlaps_itself(w.lower())]:
+        raise ValueError(f"cannot be counted event by event: {odd}")
+    w = Window.partitionBy(key).orderBy(order)
+    added = F.lit(0).cast("long")
+    for word in words:
+        n = len(word) - 1
+        own = F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text), F.lit(""))))
+        if n:
+            former = F.array_join(F.collect_list(F.right(own, F.lit(n))).over(w.rowsBetween(-n, -1)), "")
+            own = F.concat(F.right(former, F.lit(n)), own)
+        added = added + mentions(own, [word])
+    return df.withColumn("_added", added).withColumn(out, F.sum("_added").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_added")
+
+
+def running_scores(df: DataFrame, key: str, order: str, groups: dict[str, list[str]], text: str = "text", other: str = "other") -> DataFrame:
+    """``running_text`` with ``keyword_scores``, but for ``all_text``: chunks and score_<group> from counts that are summed."""
+    out = df.withColumn("chunks", F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long"))
+    for g, words in groups.items():
+        out = running_mentions(out, key, order, words, f"_n_{g}", text)
+    return _shares(out, groups, other)
+
+
 def keyword_scores(df: DataFrame, groups: dict[str, list[str]], text: str = "all_text", other: str = "other") -> DataFrame:
     """Adds score_<group>: a group's share of all mentions; ``other`` gets 1 where there are none."""
     low = F.lower(F.col(text))
-    out = df.withColumns({f"_n_{g}": mentions(low, words) for g, words in groups.items()})
+    return _shares(df.withColumns({f"_n_{g}": mentions(low, words) for g, words in groups.items()}), groups, other)
+
+
+def _shares(out: DataFrame, groups: dict[str, list[str]], other: str) -> DataFrame:
     total = sum((F.col(f"_n_{g}") for g in groups), F.lit(0).cast("long"))
     out = out.withColumn("_total", total)
     scores = {f"score_{g}": F.when(F.col("_total") > 0, F.col(f"_n_{g}") / F.col("_total")).otherwise(F.lit(0.0)) for g in groups}

@@ -33,6 +33,11 @@ def with_total(detail: DataFrame, total: DataFrame, key: str, name: str = "__AGG
     return detail.unionByName(total.withColumn(key, F.lit(name)), allowMissingColumns=True)
 
 
+def paired(reference: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
+    """(key, ref, pred) of encounters that have both; the others are passed over."""
+    return reference.select(key, "ref").join(predicted.select(key, "pred"), key)
+
+
 def _scores(r: Column, p: Column) -> dict[str, Column]:
     """Both sets empty: all 1; one of them: all 0."""
     both, union = F.size(F.array_intersect(r, p)), F.size(F.array_union(r, p))

@@ -94,7 +94,7 @@ def import_graph(nodes: DataFrame, edges: DataFrame, order: list[Column] | None
     """Bulk import: typed columns, the first node of each id, and edges between nodes that exist."""
     nodes, edges = typed(nodes), typed(edges)
     first = first_by_id(nodes, order or [F.col("source")])
-    return first, keep_complete(edges, first)
+    return first, keep_complete(edges, nodes)  # the ids are the same as those of the first nodes, without their sort
 
 
 #: Header suffixes and the types they stand for.
@@ -139,8 +139,14 @@ def bridge_matrix(edges: DataFrame) -> DataFrame:
 
 
 def manifest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per source: node and edge counts, their totals, the number of sources, and an order-free digest of the content."""
-    digest = lambda df: F.sum(F.xxhash64(*[c for c in df.columns if c != "source"]).cast("decimal(38,0)")).cast("string")
+    """Per source: node and edge counts, their totals, the number of sources, and an order-free digest of the content:
+    the sum of 60 bits of the MD5 of each row, its columns but the source as text (null: empty) joined by U+001F."""
+
+    def digest(df: DataFrame) -> Column:
+        cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in sorted(df.columns) if c != "source"]
+        bits = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *cells).cast("binary")), 1, 15), 16, 10)
+        return F.sum(bits.cast("decimal(20,0)")).cast("string")
+
     n = nodes.groupBy("source").agg(F.count(F.lit(1)).alias("n_nodes"), digest(nodes).alias("nodes_digest"))
     e = edges.groupBy("source").agg(F.count(F.lit(1)).alias("n_edges"), digest(edges).alias("edges_digest"))
     zero = F.lit(0).cast("long")

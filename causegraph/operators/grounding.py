@@ -82,22 +82,55 @@ def rerank(retrieved: DataFrame, ranked: DataFrame, key: str = "q") -> DataFrame
     return out.withColumn("pos", F.row_number().over(w).cast("long")).select(key, "id", "name", "pos", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def _plain_words(c: Column) -> Column:
+    return t.tokens(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+
+
 def exact_spans(texts: DataFrame, evidence: DataFrame) -> DataFrame:
     """(item, doc, start, end) of the first place, case folded, of each item (item, needle) in each text (doc, text) that holds it.
 
-    An index on a needle's longest word limits which texts are searched for it, so
-    items and texts meet on words rather than each with each.
+    Items and texts meet on keys rather than each with each: a needle's longest inner word,
+    or, where it has none, its first characters, three at most.  Of the texts' words and
+    groups of characters only those that some needle is keyed by move.
     """
-    words = lambda c: F.array_distinct(t.tokens(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")))
-    inner = F.slice(t.tokens(F.regexp_replace(F.lower(F.col("needle")), r"[^\p{L}\p{N}]+", " ")), F.lit(2), F.greatest(F.lit(0), F.size(t.tokens(F.regexp_replace(F.lower(F.col("needle")), r"[^\p{L}\p{N}]+", " "))) - 2))
+    words = _plain_words(F.col("needle"))
+    inner = F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2))
     longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
-    e = evidence.where(F.trim("needle") != "").withColumn("needle", F.lower(F.trim("needle"))).withColumn("word", longest)
-    keyed, rest = e.where("word is not null"), e.where("word is null")
+    needle = F.lower(F.trim("needle"))
+    key = F.coalesce(F.concat(F.lit("w"), longest), F.concat(F.least(F.lit(3), F.length(needle)).cast("string"), F.substring(needle, 1, 3)))
+    e = evidence.where(F.trim("needle") != "").select("item", needle.alias("needle"), key.alias("word"))
+    wanted = e.select("word").distinct()
+    lengths = sorted(r[0] for r in wanted.where("word not like 'w%'").select(F.substring("word", 1, 1)).distinct().collect())  # of 1, 2, 3
     d = texts.select("doc", F.lower("text").alias("text"))
-    pairs = d.select("doc", F.explode(words(F.col("text"))).alias("word")).join(keyed.select("item", "needle", "word"), "word").select("doc", "item", "needle")
-    found = pairs.join(d, "doc").unionByName(d.join(rest.select("item", "needle"), F.contains("text", "needle")).select("doc", "item", "needle", "text"))
+    parts = [F.transform(F.array_distinct(_plain_words(F.col("text"))), lambda x: F.concat(F.lit("w"), x))]
+    for n in lengths:
+        last = F.length("text") - (int(n) - 1)
+        grams = F.transform(F.when(last > 0, F.sequence(F.lit(1), last)), lambda i: F.concat(F.lit(n), F.substr("text", i, F.lit(int(n)))))
+        parts.append(F.coalesce(F.array_distinct(grams), F.array().cast("array<string>")))
+    keyed = d.select("doc", F.explode(F.concat(*parts)).alias("word")).join(wanted, "word", "left_semi")
+    pairs = keyed.join(e, "word").select("doc", "item", "needle")
     at = F.expr("locate(needle, text)")
-    return found.withColumn("_at", at).where("_at > 0").select("item", "doc", (F.col("_at") - 1).cast("long").alias("start"), (F.col("_at") - 1 + F.length("needle")).cast("long").alias("end"))
+    return pairs.join(d, "doc").withColumn("_at", at).where("_at > 0").select("item", "doc", (F.col("_at") - 1).cast("long").alias("start"), (F.col("_at") - 1 + F.length("needle")).cast("long").alias("end"))
+
+
+def sharing_words(texts: DataFrame, evidence: DataFrame, n: int = 3, share: float = 0.25) -> DataFrame:
+    """(doc, item, text, needle): texts (doc, text) that have at least this share of the groups of ``n`` words in a row that
+    an item (item, needle) has, case folded. Of the texts' word groups only those of some item move."""
+    words = lambda c: t.tokens(F.lower(F.col(c)))
+
+    def groups(c: str) -> Column:
+        def of(w: Column) -> Column:
+            last = F.size(w) - (n - 1)
+            return F.array_distinct(F.transform(F.when(last > 0, F.sequence(F.lit(0), last - 1)), lambda i: F.xxhash64(F.slice(w, i + 1, n))))
+
+        return t.let(words(c), of)
+
+    wanted = evidence.select("item", groups("needle").alias("g"))
+    wanted = wanted.select("item", F.ceil(F.size("g") * share).alias("least"), F.explode("g").alias("g"))
+    keyed = texts.select("doc", F.explode(groups("text")).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi")
+    pairs = keyed.join(wanted, "g").groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least"))
+    pairs = pairs.where("n >= least").select("doc", "item")
+    return pairs.join(texts.select("doc", "text"), "doc").join(evidence.select("item", "needle"), "item")
 
 
 def find_spans(df: DataFrame, text: str = "text", evidences: str = "evidences", least: float = 0.7, case_sensitive: bool = False) -> DataFrame:

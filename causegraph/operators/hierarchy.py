@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from causegraph.functions.text import parent_by_dot
+from causegraph.operators.graph import union_all
+from causegraph.storage import stored
 
 
 def depth_parent(df: DataFrame, ident: str, depth: str, order: str, most: int, partition: list[str] | None = None) -> DataFrame:
@@ -48,29 +50,20 @@ def expand_ranges(ranges: DataFrame, codes: DataFrame, code: str, low: str = "ra
 
 
 def closure(edges: DataFrame, child: str, parent: str, rounds: int = 64) -> DataFrame:
-    """All (node, ancestor) pairs of a hierarchy, cycles permitted; each round joins the newest pairs with the edges."""
-    e = edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).where("_c is not null and _p is not null").distinct()
-    seen = e.select(F.col("_c").alias("node"), F.col("_p").alias("ancestor"))
-    new = seen
+    """All (node, ancestor) pairs of a hierarchy, cycles permitted. Each round joins the newest pairs with the edges and
+    stores only those that no round had before."""
+    e = stored(edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).where("_c is not null and _p is not null").distinct(), "edges")
+    new = e.select(F.col("_c").alias("node"), F.col("_p").alias("ancestor"))
+    seen = [new]
     for _ in range(rounds):
         step = new.join(e, F.col("ancestor") == F.col("_c")).select("node", F.col("_p").alias("ancestor")).distinct()
-        new = _cut(step.join(seen, ["node", "ancestor"], "left_anti"))
+        new = stored(step.join(union_all(seen), ["node", "ancestor"], "left_anti"), "pairs")
         if new.isEmpty():
-            return seen
-        seen = _cut(seen.unionByName(new))
+            return union_all(seen)
+        seen.append(new)
     raise ValueError(f"the hierarchy is deeper than {rounds}")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, in spark.checkpoint.dir where that is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="causegraph-"))
-    return df.checkpoint()
-
-
 def below(edges: DataFrame, roots: list[str], child: str, parent: str) -> DataFrame:
     """Distinct nodes that are below (or are) one of the roots."""
     all_pairs = closure(edges, child, parent)

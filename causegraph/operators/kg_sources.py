@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from causegraph.functions import text as t
 from causegraph.operators import etl, hierarchy
@@ -46,11 +46,13 @@ def code_graph(nodes: DataFrame, edges: DataFrame, namespace: str = "icd10", emb
 
 
 def icd11(tabulation: DataFrame, mapping: DataFrame, most: int = 16) -> Graph:
-    """tabulation: row_no, foundation_uri, code, title, class_kind, depth, is_residual; mapping: row_no, foundation_uri, icd10_code."""
+    """tabulation: row_no, foundation_uri, code, title, class_kind, depth, is_residual, and chapter, if its chapters are to be
+    worked on apart from each other; mapping: row_no, foundation_uri, icd10_code."""
     own = lambda: t.curie("icd11", t.last_segment("foundation_uri"))
     rows = tabulation.where(~F.col("is_residual")).withColumn("id", own())
     nodes = rows.select("id", F.lit("icd11").alias("label"), "code", t.tabulation_title("title").alias("name"), "class_kind")
-    up = hierarchy.depth_parent(rows, "id", "depth", "row_no", most).where("parent is not null")
+    chapters = ["chapter"] if "chapter" in tabulation.columns else None
+    up = hierarchy.depth_parent(rows, "id", "depth", "row_no", most, chapters).where("parent is not null")
     known = mapping.where("icd10_code <> 'No Mapping'").withColumn("id", own())
     known = etl.last_wins(known, "id", "icd10_code", "row_no")
     maps = rows.join(known, "id")
@@ -148,7 +150,8 @@ def who_mortality(deaths: DataFrame, population: DataFrame, countries: DataFrame
     """deaths: Country, Admin1, SubDiv, Year, List, Cause, Sex, Deaths1 to Deaths26; population: Country, Admin1, Year,
     Sex, Pop1 to Pop26, Lb; countries: country, name."""
     national = deaths.where("Admin1 is null and SubDiv is null").withColumns({"List": F.trim(F.col("List").cast("string")), "Cause": F.trim(F.col("Cause").cast("string"))})
-    best = etl.most_granular(national, ["Country", "Year"], t.lookup(LIST_RANK, "List")).where(F.upper("Cause") != ALL_CAUSES)
+    detailed = national.where(F.col("List").isin(list(LIST_RANK)))
+    best = etl.most_granular(detailed, ["Country", "Year"], t.lookup(LIST_RANK, "List")).where(F.upper("Cause") != ALL_CAUSES)
     pop = population.where((F.col("Admin1").isNull()) & (F.col("Year") >= since))
     entry = F.struct(F.col("Year").cast("int").alias("year"), t.sex_name("Sex").alias("sex"), t.int_or("Pop1").alias("population_total"), F.array(*[t.int_or(f"Pop{i}") for i in range(2, 27)]).alias("age_populations"), t.int_or("Lb").alias("live_births"))
     entries = pop.groupBy("Country").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
@@ -164,8 +167,6 @@ def who_mortality(deaths: DataFrame, population: DataFrame, countries: DataFrame
     return nodes, edges
 
 
-Exporter = Callable[[SparkSession, dict[str, DataFrame]], Graph]
-
 #: Builders by source, in the order of precedence; each takes its inputs by name.
 REGISTRY: dict[str, Callable[..., Graph]] = {
     "icd10": code_graph, "icd11": icd11, "phmrc": phmrc, "who_va": who_va, "acme": code_graph, "probbase": probbase,

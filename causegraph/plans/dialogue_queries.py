@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,7 +15,7 @@ NAMES = ("a", "b", "other")
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return dialogue.keyword_scores(dialogue.running_text(table(spark, sf, "conversations"), "conv_id", "turn"), GROUPS)
+    return dialogue.running_scores(table(spark, sf, "conversations"), "conv_id", "turn", GROUPS)
 
 
 SCORES_SQL = """WITH r AS (SELECT conv_id, turn, row_number() OVER w AS chunks, lower(' ' || string_agg(coalesce(text, ''), ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS x
@@ -52,32 +52,34 @@ def dlg_gate_batches(spark: SparkSession, sf: str) -> DataFrame:
     return dialogue.gate(table(spark, sf, "conversations"), "conv_id", "turn")
 
 
-@query("dlg_gate_stream", GATE_SQL)
-def dlg_gate_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The same from a file stream, run until the input is used up; state and results lie in the shared folder."""
-    import uuid
+def streamed(spark: SparkSession, sf: str, name: str, process) -> DataFrame:
+    """A table read as a file stream and put through ``process`` until it is used up; state and results lie in the shared folder.
 
+    Stateful processors need the RocksDB state store, which the session keeps from the first stream on.
+    """
+    from causegraph.storage import shared_root
     from causegraph.streaming import processors
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="causegraph-")
-    work = f"{base.rstrip('/')}/gate-{uuid.uuid4().hex}"
-    path = f"{sf}/conversations.parquet"
-    schema = spark.read.parquet(path).schema
-    # a stream reads a folder; the glob also takes a table that is a single file
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(sf if _is_file(spark, path) else path)
-    source = source.where(F.input_file_name().contains("conversations.parquet"))
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, processors.ROCKSDB)
-    try:
-        out = processors.gate_stream(source, "conv_id", "turn")
-        run = out.writeStream.format("parquet").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start(f"{work}/out")
-        run.awaitTermination()
-    finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    work = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{sf}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    # a stream reads a folder: the table's own, or, if it is one file, the only file of that name in its folder
+    source = reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf) if _is_file(spark, path) else reader.parquet(path)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", processors.ROCKSDB)
+    out = process(source)
+    run = out.writeStream.format("parquet").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start(f"{work}/out")
+    run.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{work}/out")
 
 
+@query("dlg_gate_stream", GATE_SQL)
+def dlg_gate_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a file stream."""
+    from causegraph.streaming import processors
+
+    return streamed(spark, sf, "conversations", lambda df: processors.gate_stream(df, "conv_id", "turn"))
+
+
 def _is_file(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()

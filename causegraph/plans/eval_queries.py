@@ -20,38 +20,50 @@ def eval_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.md5(F.col("norm").cast("binary")).alias("norm"), F.size(t.tokens("norm")).cast("long").alias("n_words"))
 
 
-def heard(spark: SparkSession, sf: str, most: int | None = None) -> DataFrame:
-    """Turns as references, whole or their first ``most`` characters, and what a poor recogniser hears: some letters change, the beginning is lost or a word is added."""
+def heard(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole turns as references and what a poor recogniser hears: some letters change, the beginning is lost or a word is added."""
     c = table(spark, sf, "conversations")
     ref = F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", "")
-    ref = ref if most is None else F.substring(ref, 1, most)
-    hyp = F.when(F.col("turn") % 3 == 0, F.regexp_replace(ref, "th", "d")).when(F.col("turn") % 3 == 1, F.substr(ref, F.lit(7))).otherwise(F.concat(ref, F.lit(" uh")))
+    lost = F.when(F.col("turn") % 3 == 1, F.substr(ref, F.lit(7))).otherwise(F.concat(ref, F.lit(" uh")))
+    hyp = F.when(F.col("turn") % 3 == 0, F.regexp_replace(ref, "th", "d")).otherwise(lost)
     return c.select("conv_id", "turn", ref.alias("ref"), hyp.alias("hyp"))
 
 
-def character_errors(heard: DataFrame) -> DataFrame:
-    e = evaluate.word_errors(heard, "ref", "hyp")
-    return e.select("conv_id", "turn", F.col("char_edits").alias("edits"), F.col("char_len").alias("ref_len"), F.round("cer", 9).alias("cer"))
+HEARD_SQL = r"""r AS (SELECT conv_id, turn, regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g') AS ref FROM conversations),
+h AS (SELECT *, CASE turn % 3 WHEN 0 THEN replace(ref, 'th', 'd') WHEN 1 THEN substr(ref, 7) ELSE ref || ' uh' END AS hyp FROM r),
+c AS (SELECT conv_id, turn, trim(regexp_replace(ref, '\s+', ' ', 'g')) AS a, trim(regexp_replace(hyp, '\s+', ' ', 'g')) AS b FROM h),
+k AS (SELECT *, replace(a, ' ', '') AS x, replace(b, ' ', '') AS y FROM c)"""
 
 
 @query(
     "eval_cer",
-    r"""WITH r AS (SELECT conv_id, turn, substr(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), 1, 120) AS ref FROM conversations),
-h AS (SELECT *, CASE turn % 3 WHEN 0 THEN replace(ref, 'th', 'd') WHEN 1 THEN substr(ref, 7, 120) ELSE ref || ' uh' END AS hyp FROM r),
-c AS (SELECT conv_id, turn, replace(trim(regexp_replace(ref, '\s+', ' ', 'g')), ' ', '') AS a, replace(trim(regexp_replace(hyp, '\s+', ' ', 'g')), ' ', '') AS b FROM h)
-SELECT conv_id, turn, levenshtein(a, b)::BIGINT AS edits, length(a)::BIGINT AS ref_len, CASE WHEN length(a) > 0 THEN round(levenshtein(a, b)::DOUBLE / length(a), 9) END AS cer FROM c""",
+    f"""WITH {HEARD_SQL}
+SELECT conv_id, turn, levenshtein(x, y)::BIGINT AS edits, length(x)::BIGINT AS ref_len, CASE WHEN length(x) > 0 THEN round(levenshtein(x, y)::DOUBLE / length(x), 9) END AS cer FROM k""",
 )
 def eval_cer(spark: SparkSession, sf: str) -> DataFrame:
-    """The first 120 characters of each turn, as the SQL has it; ``eval_whole_cer`` scores all of them."""
-    return character_errors(heard(spark, sf, 120))
-
-
-@query("eval_whole_cer")
-def eval_whole_cer(spark: SparkSession, sf: str) -> DataFrame:
-    return character_errors(heard(spark, sf))
+    e = evaluate.word_errors(heard(spark, sf), "ref", "hyp")
+    return e.select("conv_id", "turn", F.col("char_edits").alias("edits"), F.col("char_len").alias("ref_len"), F.round("cer", 9).alias("cer"))
 
 
-@query("eval_wer_sdi")
+#: Rows of the table of edit costs, one for each reference word, then the walk back through it: a match where words are
+#: equal, else a substitution, an insertion, a deletion, in this order, if it explains the cost.
+WER_SQL = f"""WITH RECURSIVE {HEARD_SQL},
+w AS (SELECT conv_id || '.' || turn AS id, x, y, list_filter(string_split(a, ' '), lambda t: t <> '') AS r, list_filter(string_split(b, ' '), lambda t: t <> '') AS q FROM k),
+cost(id, i, c) AS (SELECT id, 0::BIGINT, range(len(q) + 1) FROM w
+  UNION ALL SELECT id, i, list_transform(range(1, len(u) + 1), lambda j: j + list_min(u[1:j])) FROM (
+    SELECT cost.id AS id, i + 1 AS i, list_transform(list_prepend(i + 1, list_transform(range(1, len(q) + 1), lambda j: least(c[j + 1] + 1, c[j] + (r[i + 1] <> q[j])::BIGINT))), lambda v, j: v - j) AS u
+    FROM cost JOIN w ON w.id = cost.id WHERE i < len(r))),
+walk(id, i, j, s, d, ins) AS (SELECT id, len(r), len(q), 0::BIGINT, 0::BIGINT, 0::BIGINT FROM w
+  UNION ALL SELECT id, CASE WHEN step = 'i' THEN i ELSE i - 1 END, CASE WHEN step = 'd' THEN j ELSE j - 1 END, s + (step = 's')::BIGINT, d + (step = 'd')::BIGINT, ins + (step = 'i')::BIGINT FROM (
+    SELECT walk.*, CASE WHEN r[walk.i] = q[j] THEN 'm' WHEN here.c[j + 1] = up.c[j] + 1 THEN 's' WHEN here.c[j + 1] = here.c[j] + 1 THEN 'i' ELSE 'd' END AS step
+    FROM walk JOIN w ON w.id = walk.id JOIN cost here ON here.id = walk.id AND here.i = walk.i JOIN cost up ON up.id = walk.id AND up.i = walk.i - 1 WHERE walk.i > 0 AND j > 0)),
+e AS (SELECT w.id AS id, walk.s AS s, walk.d + walk.i AS d, walk.ins + walk.j AS i, len(r) AS n, levenshtein(x, y)::BIGINT AS edits, length(x) AS chars
+  FROM w JOIN walk ON walk.id = w.id WHERE walk.i = 0 OR walk.j = 0),
+t AS (SELECT * FROM e UNION ALL SELECT '__AGGREGATE__', sum(s), sum(d), sum(i), sum(n), sum(edits), sum(chars) FROM e)
+SELECT id, s::BIGINT AS s, d::BIGINT AS d, i::BIGINT AS i, n::BIGINT AS n, CASE WHEN n > 0 THEN (s + d + i)::DOUBLE / n::DOUBLE END AS wer, CASE WHEN chars > 0 THEN edits::DOUBLE / chars::DOUBLE END AS cer FROM t"""
+
+
+@query("eval_wer_sdi", WER_SQL)
 def eval_wer_sdi(spark: SparkSession, sf: str) -> DataFrame:
     e = evaluate.word_errors(heard(spark, sf), "ref", "hyp").withColumn("id", F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     total = evaluate.corpus_errors(e)

@@ -70,13 +70,18 @@ def graph_source_summary(spark: SparkSession, sf: str) -> DataFrame:
     return graph.source_summary(nodes(spark, sf), edges(spark, sf))
 
 
+DIGEST_SQL = "sum(('0x' || substr(md5(concat_ws(chr(31), {})), 1, 15))::BIGINT)::VARCHAR"
+
+
 @query(
     "graph_manifest",
-    f"""{SUMMARY_SQL}, s AS (SELECT source, coalesce(ns.n, 0) AS n_nodes, coalesce(es.n, 0) AS n_edges FROM ns FULL JOIN es USING (source))
-SELECT source, n_nodes, n_edges, (SELECT sum(n_nodes) FROM s)::BIGINT AS total_nodes, (SELECT sum(n_edges) FROM s)::BIGINT AS total_edges, (SELECT count(*) FROM s) AS n_sources FROM s""",
+    f"""{GRAPH_SQL}, ns AS (SELECT source, count(*) AS n_nodes, {DIGEST_SQL.format("id, label, name")} AS nodes_digest FROM n GROUP BY source),
+es AS (SELECT source, count(*) AS n_edges, {DIGEST_SQL.format("end_id, start_id, type")} AS edges_digest FROM e GROUP BY source),
+s AS (SELECT source, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_edges, 0) AS n_edges, nodes_digest, edges_digest FROM ns FULL JOIN es USING (source))
+SELECT *, (SELECT sum(n_nodes) FROM s)::BIGINT AS total_nodes, (SELECT sum(n_edges) FROM s)::BIGINT AS total_edges, (SELECT count(*) FROM s) AS n_sources FROM s""",
 )
 def graph_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.manifest(nodes(spark, sf), edges(spark, sf)).drop("nodes_digest", "edges_digest")
+    return graph.manifest(nodes(spark, sf), edges(spark, sf))
 
 
 @query(
@@ -116,12 +121,20 @@ def graph_merged_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return graph.combined_nodes(twins(spark, sf))
 
 
-@query("graph_import", f"{GRAPH_SQL}, kept AS (SELECT id FROM n ANTI JOIN (SELECT 'supplier:' || s_suppkey AS id FROM supplier WHERE s_acctbal < 0) USING (id)) SELECT start_id, end_id, type FROM e WHERE start_id IN (SELECT id FROM kept) AND end_id IN (SELECT id FROM kept)")
+@query(
+    "graph_import",
+    f"""{GRAPH_SQL}, kept AS (SELECT * FROM n ANTI JOIN (SELECT 'supplier:' || s_suppkey AS id FROM supplier WHERE s_acctbal < 0) USING (id))
+SELECT 'node' AS kind, id AS a, label AS b, name AS c, source AS d FROM kept
+UNION ALL SELECT 'edge', start_id, end_id, type, source FROM e WHERE start_id IN (SELECT id FROM kept) AND end_id IN (SELECT id FROM kept)""",
+)
 def graph_import(spark: SparkSession, sf: str) -> DataFrame:
-    """Duplicate nodes are passed over and edges kept only between nodes that exist."""
+    """Of nodes that are there twice, under other names, the first stays; edges stay between nodes that exist."""
     gone = table(spark, sf, "supplier").where("s_acctbal < 0").select(curie("supplier", "s_suppkey").alias("id"))
     n = nodes(spark, sf).join(gone, "id", "left_anti")
-    return graph.import_graph(n.unionByName(n.withColumn("source", F.lit("zz"))), edges(spark, sf))[1].select("start_id", "end_id", "type")
+    twice = n.unionByName(n.withColumns({"source": F.lit("zz"), "name": F.lit("another")}))
+    kept, complete = graph.import_graph(twice, edges(spark, sf))
+    rows = kept.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("label").alias("b"), F.col("name").alias("c"), F.col("source").alias("d"))
+    return rows.unionByName(complete.select(F.lit("edge").alias("kind"), F.col("start_id").alias("a"), F.col("end_id").alias("b"), F.col("type").alias("c"), F.col("source").alias("d")))
 
 
 DEPTH = "1 + (length(text) % 4)"
@@ -150,16 +163,16 @@ def hier_id_parent(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "hier_range_expand",
     """WITH codes AS (SELECT DISTINCT substr(p_type, 1, 1) || lpad((p_partkey % 100)::VARCHAR, 2, '0') AS code FROM part),
-r AS (SELECT item_id, chr((65 + item_id % 20)::INTEGER) || lpad((item_id % 50)::VARCHAR, 2, '0') AS a, chr((65 + item_id % 20)::INTEGER) || lpad((item_id % 50 + 25)::VARCHAR, 2, '0') AS z FROM benchmark)
+r AS (SELECT item_id, chr((65 + item_id % 20)::INTEGER) || lpad((item_id % 50)::VARCHAR, 2, '0') AS a, chr((65 + item_id % 20 + item_id % 3)::INTEGER) || lpad((item_id % 50 + 25)::VARCHAR, 2, '0') AS z FROM benchmark)
 SELECT item_id AS range_id, code AS member FROM r JOIN codes ON code BETWEEN a AND z""",
 )
 def hier_range_expand(spark: SparkSession, sf: str) -> DataFrame:
-    """Code ranges such as ``C07-C32`` and the codes within them."""
+    """Code ranges such as ``C07-C32`` or ``C07-E32`` and the codes within them."""
     codes = table(spark, sf, "part").select(F.concat(F.substring("p_type", 1, 1), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0")).alias("code")).distinct()
     i = F.col("item_id")
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    letter = F.char(65 + i % 20)
-    cells = table(spark, sf, "benchmark").select("item_id", F.concat(letter, two(i % 50), F.lit("-"), letter, two(i % 50 + 25)).alias("cell"))
+    letter = lambda more: F.char(65 + i % 20 + more)
+    cells = table(spark, sf, "benchmark").select("item_id", F.concat(letter(F.lit(0)), two(i % 50), F.lit("-"), letter(i % 3), two(i % 50 + 25)).alias("cell"))
     return hierarchy.expand_ranges(hierarchy.code_ranges(cells, "cell"), codes, "code").select(F.col("item_id").alias("range_id"), F.col("code").alias("member"))
 
 
