@@ -13,8 +13,9 @@ products in double precision.  A cell of any size is dealt out as pairs of block
 bounded size; a task returns link counts and a spanning forest of the links it found,
 never the pairs themselves.
 
-A cell whose vectors would visit many cells on average is not split: with vectors that
-form no clusters more cells would only copy.
+A cell is split only if that halves the comparisons at least, visits included, and if its
+vectors visit few cells: with vectors that form no clusters more cells would only copy, and
+blocks do the work.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing,
 nor do those without a label; vectors of unequal dimension aren't compared.  Vectors are
@@ -37,7 +38,8 @@ from causegraph.storage import stored
 LEAST_COSINE = 0.98
 #: A cell's rows before it is split, expected rows of the sample its centroids are fitted on, their number, and the levels.
 CELL_ROWS, SAMPLE_ROWS, CELLS, LEVELS = 1000, 10_000, 1024, 8
-VISITS, ROUNDS = 3.0, 8
+#: Cells that a vector may visit on average in the first split and in each later one.
+VISITS, ROUNDS = (3.0, 0.25), 8
 BLOCK, ASSIGN_ROWS = 1024, 20_000
 _SLACK = 1e-6
 
@@ -74,14 +76,17 @@ def _matrix(vectors: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return _unit(flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
 
 
-def centroids(sample: np.ndarray, rows: int, reach: float, cell_rows: int = CELL_ROWS) -> np.ndarray:
-    """Centroids for a cell of so many rows; a single one if a split would make its vectors visit too many cells."""
-    k, best = 1, None
-    while k <= CELLS and (k == 1 or (k - 1) * cell_rows < 4 * rows and k <= len(sample)):
+def centroids(sample: np.ndarray, rows: int, reach: float, cell_rows: int = CELL_ROWS, most: float = VISITS[0]) -> np.ndarray:
+    """Centroids for a cell of so many rows: of numbers that double, the one that leaves the fewest comparisons, which are
+    as (1 + visits)^2 / number; a single one if none halves them."""
+    k, best, least = 2, spherical_kmeans(sample, 1), 0.5 + 1e-9
+    while k <= CELLS and (k - 1) * cell_rows < 4 * rows and k <= len(sample):
         c = spherical_kmeans(sample, k)
-        if k > 1 and np.mean([_visits(sample[a : a + 1024], c, reach)[1].sum(1).mean() for a in range(0, len(sample), 1024)]) > VISITS:
+        visits = np.concatenate([_visits(sample[a : a + 1024], c, reach)[1].sum(1) for a in range(0, len(sample), 1024)]).mean()
+        if visits > most:
             break
-        best = c
+        if (1 + visits) ** 2 / k <= least:
+            best, least = c, (1 + visits) ** 2 / k
         k *= 2
     return best
 
@@ -94,7 +99,7 @@ def _split(cells: DataFrame, large: DataFrame, level: int, reach: float, cell_ro
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
-        c = centroids(_matrix(table["embedding"], table["dim"][0].as_py()), table["n"][0].as_py(), reach, cell_rows)
+        c = centroids(_matrix(table["embedding"], table["dim"][0].as_py()), table["n"][0].as_py(), reach, cell_rows, VISITS[min(level, 1)])
         return pa.table({"cell": table["cell"][:1], "n": table["n"][:1], "centres": pa.array([c.tobytes()], pa.binary())})
 
     sample = rows.where(chosen).select("cell", "n", "rep", "dim", "embedding")
