@@ -170,3 +170,9 @@ def spoken_text(segments: Column, language: Column | str, raw: Column | str, lim
 def silent(peak: Column | str, integer: bool = False) -> Column:
     """True below the silence gate: 0.001 for floats, 33 for 16-bit samples."""
     return col(peak) < (33 if integer else 0.001)
+
+
+def stable_id(*parts: Column | str) -> Column:
+    """An id in the shape of a UUID that depends on the parts alone, so a task that runs again makes the same one."""
+    h = F.md5(F.concat_ws("\x1f", *[col(p).cast("string") for p in parts]).cast("binary"))
+    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])

@@ -169,3 +169,41 @@ def resets(df: DataFrame, key: str, order: str, reset: Column) -> DataFrame:
     """Drops reset events and adds ``session``, which counts them: state keyed by (key, session) starts anew."""
     w = Window.partitionBy(key).orderBy(order)
     return df.withColumn("session", F.sum(F.when(reset, 1).otherwise(0)).over(w).cast("long")).where(~reset)
+
+
+class Transcriber:
+    """What makes events (key, order, text, committed) of a stream of audio. A transcriber says in ``events`` how; it
+    gets rows (key, chunk, blob) of 16-bit samples, batch or stream."""
+
+    def events(self, chunks: DataFrame, key: str) -> DataFrame:
+        raise NotImplementedError
+
+
+class ChunkTranscriber(Transcriber):
+    """Recognises each chunk by itself: an injected function from samples (bytes) to text; silence is empty text, and so is
+    a chunk on which the function fails, with ``error`` set."""
+
+    def __init__(self, recognise, silence: int = 33):
+        self.recognise, self.silence = recognise, silence
+
+    def events(self, chunks: DataFrame, key: str) -> DataFrame:
+        import numpy as np
+
+        kind = chunks.schema[key].dataType.simpleString()
+        recognise, silence = self.recognise, self.silence
+
+        def one(blob) -> tuple[str, str | None]:
+            samples = np.frombuffer(bytes(blob or b""), "<i2", count=len(blob or b"") // 2)
+            if not len(samples) or np.abs(samples.astype(np.int32)).max() < silence:
+                return "", None
+            try:
+                return recognise(bytes(blob)), None
+            except Exception as problem:  # one chunk's failure is that chunk's only
+                return "", str(problem)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                got = [one(b) for b in pdf["blob"]]
+                yield pdf[[key, "chunk"]].assign(text=[x for x, _ in got], committed=True, error=[e for _, e in got])
+
+        return chunks.select(key, "chunk", "blob").mapInPandas(run, f"`{key}` {kind}, chunk long, text string, committed boolean, error string")

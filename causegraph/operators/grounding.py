@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -162,6 +162,7 @@ class Settings:
     """A grounder's configuration."""
 
     extractor: str = "lexicon"
+    encoder: str = "hashing"
     label: str = "icd10"
     top_k: int = TOP_K
     min_similarity: float = LEAST_SIMILARITY
@@ -240,6 +241,50 @@ def ground(df: DataFrame, key: str, index: DataFrame, client: Callable, encode:
     return flat.join(matches, "q", "left").drop("q")
 
 
+class Grounder:
+    """Grounds texts by components that its settings name: an extractor and an encoder from the given makers, and the index
+    of the nodes with the settings' label. ``update`` makes anew only what a changed setting concerns."""
+
+    def __init__(self, settings: Settings, nodes: DataFrame, extractors: dict[str, Callable], encoders: dict[str, Callable], reorder: Callable | None = None):
+        self.nodes, self.makers, self.reorder = nodes, {"extractor": extractors, "encoder": encoders}, reorder
+        self.settings = settings
+        self.made: dict[str, object] = {}
+        self._make(("extractor", "encoder", "label"))
+
+    def _make(self, names) -> None:
+        for name in names:
+            wanted = getattr(self.settings, name)
+            if name == "label":
+                self.made[name] = vector_index(self.nodes, wanted)
+                if self.made[name] is None:
+                    raise ValueError(f"no vectors of {wanted!r}")
+            elif wanted not in self.makers[name]:
+                raise ValueError(f"no {name} {wanted!r}")
+            else:
+                self.made[name] = self.makers[name][wanted]()
+
+    def update(self, **changes) -> "Grounder":
+        before = self.settings
+        self.settings = replace(before, **changes)
+        self._make([n for n in ("extractor", "encoder", "label") if getattr(before, n) != getattr(self.settings, n)])
+        return self
+
+    def process(self, df: DataFrame, key: str) -> DataFrame:
+        return ground(df, key, self.made["label"], self.made["extractor"], self.made["encoder"], self.settings, self.reorder)
+
+    def ground(self, df: DataFrame, key: str) -> DataFrame:
+        return first_matches(self.process(df, key), key)
+
+    def annotate(self, df: DataFrame, key: str, highlight: str = "evidence") -> DataFrame:
+        return annotate(self.process(df, key), key, highlight)
+
+
+def structured(annotations: Column) -> Column:
+    """(text, curie, name) of each annotation's best match; those without one go."""
+    good = F.filter(annotations, lambda a: F.size(a["matches"]) > 0)
+    return F.transform(good, lambda a: F.struct(a["text"].alias("text"), F.get(a["matches"], 0)["id"].alias("curie"), F.get(a["matches"], 0)["name"].alias("name")))
+
+
 def first_matches(grounded: DataFrame, key: str) -> DataFrame:
     """The best match of each concept."""
     return grounded.select(key, "concept", F.try_element_at("matches", F.lit(1)).alias("match")).where("match is not null")

@@ -44,6 +44,40 @@ def keyword_causes(df: DataFrame, key: str, order: str, causes: dict = CAUSES) -
     return scored.withColumns({"causes": entries, "top_cause": top}).withColumnRenamed("chunks", "chunks_processed")
 
 
+#: Makers of clients by provider; a client maps a prompt to an answer.
+PROVIDERS: dict[str, Callable[..., Callable[[str], dict]]] = {}
+
+
+def provider(name: str):
+    """Registers a maker of clients under a provider's name."""
+
+    def add(make: Callable[..., Callable[[str], dict]]):
+        PROVIDERS[name.lower()] = make
+        return make
+
+    return add
+
+
+def client(name: str, **options) -> Callable[[str], dict]:
+    """A client of the provider; its options are the provider's own."""
+    if name.strip().lower() not in PROVIDERS:
+        raise ValueError(f"no provider {name!r}; there are {', '.join(sorted(PROVIDERS))}")
+    return PROVIDERS[name.strip().lower()](**options)
+
+
+@provider("keywords")
+def keyword_client(words: dict[str, str] | None = None) -> Callable[[str], dict]:
+    """A deterministic client: causes whose word the prompt's narrative holds, equally likely."""
+    known = words or {w: name for _, name, group in CAUSES.values() for w in group}
+
+    def answer(prompt: str) -> dict:
+        text = prompt.rpartition("narrative:")[2].lower()
+        found = sorted({name for w, name in known.items() if w in text})
+        return {"top_causes": [{"cause_name": x, "probability": 1 / len(found)} for x in found], "reasoning": ", ".join(found)}
+
+    return answer
+
+
 @dataclass
 class LabelAgent:
     """An agent over an injected client, which maps a prompt to {top_causes, reasoning} or raises."""

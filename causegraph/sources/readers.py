@@ -30,11 +30,16 @@ def csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
 
 
 def tsv_after(spark: SparkSession, path: str, skip: int, sep: str = "\t") -> DataFrame:
-    """A delimited file whose header follows ``skip`` lines of preamble, which differ from the rows in their first field."""
-    head = [r[0] for r in spark.read.text(path).limit(skip + 1).collect()]
-    names = head[skip].lstrip("#").split(sep)
-    lines = spark.read.text(path).where(~F.col("value").isin(head))
-    return lines.select(F.from_csv("value", F.lit(", ".join(f"`{n}` STRING" for n in names)), {"sep": sep}).alias("r")).select("r.*") if len(sep) == 1 else lines
+    """A delimited file whose header follows ``skip`` lines of preamble. Rows that equal a line of the preamble stay:
+    of such a line as many copies go as the preamble has."""
+    lines = spark.read.text(path)
+    head = [r[0] for r in lines.limit(skip + 1).collect()]
+    alike = lines.where(F.col("value").isin(head)).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    more = alike.withColumn("n", F.col("n") - F.array_size(F.filter(F.array(*map(F.lit, head)), lambda x: x == F.col("value"))))
+    again = more.where("n > 0").select("value", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("value")
+    names = ", ".join(f"`{n}` STRING" for n in head[skip].lstrip("#").split(sep))
+    rows = lines.where(~F.col("value").isin(head)).unionByName(again)
+    return rows.select(F.from_csv("value", F.lit(names), {"sep": sep}).alias("r")).select("r.*")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -7,16 +7,24 @@ import json
 from pyspark.sql import DataFrame, functions as F
 
 
-def tsv_gz(df: DataFrame, path: str, order: list[str] | None = None, files: int = 1) -> None:
-    """Gzipped TSV with a header, rows in a fixed order; equal input gives equal files."""
-    keys = order or df.columns
-    part = df.coalesce(1) if files == 1 else df.repartitionByRange(files, *keys)
-    part.sortWithinPartitions(*[F.asc_nulls_last(f"`{k}`") for k in keys]).write.mode("overwrite").option("compression", "gzip").option("sep", "\t").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+def _csv(df: DataFrame):
+    return df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "")
+
+
+def tsv_gz(df: DataFrame, path: str, order: list[str] | None = None, files: int | None = None) -> None:
+    """Gzipped TSV with a header, rows in a fixed order over the files in the order of their names: as many as the
+    amount of data asks for, or the number given."""
+    keys = [F.asc_nulls_last(f"`{k}`") for k in (order or df.columns)]
+    if files == 1:
+        part = df.coalesce(1)
+    else:
+        part = df.repartitionByRange(*([files] if files else []), *keys)
+    _csv(part.sortWithinPartitions(*keys)).option("compression", "gzip").option("sep", "\t").csv(path)
 
 
 def report(df: DataFrame, path: str) -> None:
-    """An uncompressed TSV report in one file; the rows keep their order."""
-    df.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """An uncompressed TSV report. Sorted rows keep their order, over files in the order of their names."""
+    _csv(df).option("sep", "\t").csv(path)
 
 
 def manifest(df: DataFrame, path: str, version: str) -> None:
@@ -46,7 +54,7 @@ def run_outputs(chunks: DataFrame, path: str, meta: dict, final: DataFrame) -> N
 
     chunks: seq, chunk_id, text, annotations, grounding_s, inference_s; final: one row with the last causes.
     """
-    one = chunks.coalesce(1).sortWithinPartitions("seq")
+    one = chunks.orderBy("seq")
     one.select("text").write.mode("overwrite").text(f"{path}/transcript")
     one.select("chunk_id", F.explode("annotations").alias("annotation")).write.mode("overwrite").json(f"{path}/annotations")
     one.drop("seq").write.mode("overwrite").json(f"{path}/chunks")
@@ -58,7 +66,7 @@ def run_outputs(chunks: DataFrame, path: str, meta: dict, final: DataFrame) -> N
 def results(detail: DataFrame, aggregate: DataFrame, path: str) -> None:
     """A CSV of results with the aggregate row last."""
     both = detail.withColumn("_o", F.lit(0)).unionByName(aggregate.withColumn("_o", F.lit(1)), allowMissingColumns=True)
-    both.coalesce(1).sortWithinPartitions("_o").drop("_o").write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    _csv(both.orderBy("_o", detail.columns[0]).drop("_o")).csv(path)
 
 
 def graph_tables(nodes: DataFrame, edges: DataFrame, path: str) -> None:

@@ -131,6 +131,41 @@ class LineDeltas(StatefulProcessor):
         pass
 
 
+class Chunks(StatefulProcessor):
+    """Cuts a session's bytes into chunks of ``size``; a row whose ``end`` is true gives out what is left, if ``keep_tail``.
+
+    Input: key, order, blob, end (optional).  Output: key, chunk, blob.  An event that cannot be read is
+    given out with ``error`` and changes nothing.
+    """
+
+    def __init__(self, key: str, order: str, size: int, keep_tail: bool = True):
+        self.key, self.order, self.size, self.keep_tail = key, order, size, keep_tail
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("chunks", "rest binary, chunk long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rest, chunk = self.state.get() if self.state.exists() else (b"", 0)
+        rest, out = bytes(rest), []
+        for _, e in pd.concat(list(rows)).sort_values(self.order, kind="stable").iterrows():
+            try:
+                rest += bytes(e["blob"])
+            except TypeError as problem:
+                out.append((key[0], None, None, str(problem)))
+                continue
+            ended = bool(e.get("end", False))
+            while len(rest) >= self.size or (ended and rest):
+                piece, rest = rest[: self.size], rest[self.size :]
+                if len(piece) == self.size or self.keep_tail:
+                    out.append((key[0], chunk, piece, None))
+                    chunk += 1
+        self.state.update((rest, int(chunk)))
+        yield pd.DataFrame(out, columns=[self.key, "chunk", "blob", "error"]).astype({"chunk": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
 def _kind(df: DataFrame, c: str) -> str:
     return df.schema[c].dataType.simpleString()
 
@@ -150,6 +185,11 @@ def line_delta_stream(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).transformWithStateInPandas(LineDeltas(key, order), outputStructType=schema, outputMode="append", timeMode="none")
 
 
+def chunk_stream(df: DataFrame, key: str, order: str, size: int, keep_tail: bool = True) -> DataFrame:
+    schema = f"`{key}` {_kind(df, key)}, chunk long, blob binary, error string"
+    return df.groupBy(key).transformWithStateInPandas(Chunks(key, order, size, keep_tail), outputStructType=schema, outputMode="append", timeMode="none")
+
+
 def shed(batch: DataFrame, key: str, order: str, most: int = 20) -> DataFrame:
     """For foreachBatch: the newest ``most`` pending rows of each key."""
     from causegraph.operators.etl import latest
