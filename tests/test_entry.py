@@ -14,7 +14,7 @@ def test_entry(spark):
 
 
 def test_registries():
-    assert set(catalog.ORACLES) <= set(catalog.QUERIES) and len(catalog.QUERIES) >= 44
+    assert set(catalog.ORACLES) <= set(catalog.QUERIES) and len(catalog.QUERIES) >= 100
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

@@ -38,7 +38,7 @@ def pairs():
 
 
 def test_whole_turns_are_scored(spark, turns_dir):
-    cer = {(r.conv_id, r.turn): r for r in eval_queries.eval_whole_cer(spark, turns_dir).collect()}
+    cer = {(r.conv_id, r.turn): r for r in eval_queries.eval_cer(spark, turns_dir).collect()}
     wer = {r.id: r for r in eval_queries.eval_wer_sdi(spark, turns_dir).collect()}
     edits = words = 0
     for conv, turn, ref, hyp in pairs():
