@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from causegraph.llm.bpe import _slices
-from causegraph.llm.common import bounds_of, components, documents, grouped, in_blocks, roots_of, row_ids
+from causegraph.llm.common import bounds_of, components, documents, fresh, grouped, in_blocks, roots_of, row_ids
 from causegraph.storage import stored
 
 WORDS, THRESHOLD, RECALL, DEPTH = 5, 0.8, 0.99999, 3
@@ -371,16 +371,17 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     """The rows of ``df``, with all columns, that their classes keep. Of rows that are equal in key and text one stays
     (any, where other columns differ), unless they have no words."""
     found = stored(classes(df, key, text, threshold), "found")
-    own, h = "_keep_key", "_keep_h"
-    each = found.groupBy("key", "h").agg(F.max("kept").alias("kept"), F.max(F.col("n_links")).alias("links"), F.count(F.lit(1)).alias("n")).where("kept")
-    each = stored(each.select(F.col("key").alias(own), F.col("h").alias(h), ((F.col("n") > 1) & (F.col("links") > 0)).alias("_keep_often")), "kept")
-    rows = df.withColumn("_h", F.xxhash64(F.lit(8), F.col(text)))
-    mine = lambda names: (F.col("_h") == names[h]) & rows[key].eqNullSafe(names[own])
-    once, often = each.where("not _keep_often"), each.where("_keep_often")
-    out = rows.join(once, mine(once), "left_semi").drop("_h")
-    if often.isEmpty():
-        return out
-    return out.unionByName(rows.join(often, mine(often), "left_semi").dropDuplicates([key, "_h"]).drop("_h"))
+    own, h, often, mark = fresh(df, "own", "h", "often", "mark")
+    each = found.groupBy("key", "h").agg(F.max("kept").alias("kept"), F.max("n_links").alias("links"), F.count(F.lit(1)).alias("n")).where("kept")
+    each = stored(each.select(F.col("key").alias(own), F.col("h").alias(h), ((F.col("n") > 1) & (F.col("links") > 0)).alias(often)), "kept")
+    rows = df.withColumn(mark, F.xxhash64(F.lit(8), F.col(text)))
+
+    def those(chosen: DataFrame) -> DataFrame:
+        return rows.join(chosen, (rows[mark] == chosen[h]) & rows[key].eqNullSafe(chosen[own]), "left_semi")
+
+    out = those(each.where(~F.col(often))).drop(mark)
+    repeated = each.where(often)
+    return out if repeated.isEmpty() else out.unionByName(those(repeated).dropDuplicates([key, mark]).drop(mark))
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
