@@ -4,28 +4,23 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from typing import Any
 
 #: Accepted spellings of booleans.
-TRUE, FALSE = {"1", "true", "yes", "on"}, {"0", "false", "no", "off"}
+BOOLEANS = dict.fromkeys(("1", "true", "yes", "on"), True) | dict.fromkeys(("0", "false", "no", "off"), False)
 
 
-def text(name: str, default: str, env: Mapping[str, str] | None = None) -> str:
-    value = (os.environ if env is None else env).get(name, "").strip()
-    return value or default
-
-
-def whole(name: str, default: int, env: Mapping[str, str] | None = None) -> int:
-    return int(text(name, str(default), env))
-
-
-def flag(name: str, default: bool, env: Mapping[str, str] | None = None) -> bool:
-    value = text(name, str(default), env).lower()
-    if value in TRUE:
-        return True
-    if value in FALSE:
-        return False
-    raise ValueError(f"{name}: {value!r} is no boolean")
+def read(env: Mapping[str, str], name: str, default: Any) -> Any:
+    """The variable's value as the type that its default has."""
+    value = env.get(name, "").strip()
+    if not value:
+        return default
+    if not isinstance(default, bool):
+        return type(default)(value)
+    if value.lower() not in BOOLEANS:
+        raise ValueError(f"{name}: {value!r} is no boolean")
+    return BOOLEANS[value.lower()]
 
 
 @dataclass(frozen=True)
@@ -42,12 +37,8 @@ class Settings:
 
     @classmethod
     def load(cls, env: Mapping[str, str] | None = None, prefix: str = "CAUSEGRAPH_") -> "Settings":
-        d = cls()
-        p = lambda n: f"{prefix}{n.upper()}"
-        return cls(
-            text(p("master"), d.master, env), whole(p("shuffle_partitions"), d.shuffle_partitions, env), whole(p("min_words"), d.min_words, env),
-            float(text(p("idle_seconds"), str(d.idle_seconds), env)), whole(p("max_pending"), d.max_pending, env), whole(p("top_k"), d.top_k, env), flag(p("rerank"), d.rerank, env),
-        )
+        given = os.environ if env is None else env
+        return cls(**{f.name: read(given, prefix + f.name.upper(), f.default) for f in fields(cls)})
 
 
 def session(settings: Settings | None = None, name: str = "causegraph"):

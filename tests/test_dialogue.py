@@ -176,7 +176,7 @@ def test_settings():
     s = settings.Settings.load(env)
     assert (s.min_words, s.rerank, s.top_k) == (7, False, 10)
     with pytest.raises(ValueError):
-        settings.flag("X", True, {"X": "maybe"})
+        settings.read({"X": "maybe"}, "X", True)
 
 
 def test_runner(spark, tmp_path, capsys):
