@@ -154,7 +154,9 @@ def cause_map(df: DataFrame, key: list[str], order: str) -> DataFrame:
     known = df.where("code is not null")
     last = known.groupBy(*key, "code").agg(F.max_by(F.struct("matched", "probability"), order).alias("v"), F.min(order).alias("_o"))
     entry = F.struct(t.curie("icd10", "code").alias("key"), F.struct(F.col("v.matched").alias("name"), F.create_map(F.lit("icd10"), F.col("code")).alias("identifiers"), F.col("v.probability").alias("score")).alias("value"))
-    return last.groupBy(*key).agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_o"), F.col("code"), F.to_json(entry).alias("j")))), lambda s: F.from_json(s["j"], "key string, value struct<name:string,identifiers:map<string,string>,score:double>"))).alias("causes"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("_o"), F.col("code"), F.to_json(entry).alias("j"))))
+    kind = "key string, value struct<name:string,identifiers:map<string,string>,score:double>"
+    return last.groupBy(*key).agg(F.map_from_entries(F.transform(ordered, lambda s: F.from_json(s["j"], kind))).alias("causes"))
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,16 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
     def n(name, ns, key, title):
         return table(spark, sf, name).select(curie(ns, key).alias("id"), F.lit(ns).alias("label"), F.col(title).cast("string").alias("name"), F.lit(name).alias("source"))
 
-    return graph.union_all([n("region", "region", "r_regionkey", "r_name"), n("nation", "nation", "n_nationkey", "n_name"), n("customer", "customer", "c_custkey", "c_name"), n("supplier", "supplier", "s_suppkey", "s_name"), n("part", "part", "p_partkey", "p_name"), n("orders", "order", "o_orderkey", "o_orderpriority")])
+    return graph.union_all(
+        [
+            n("region", "region", "r_regionkey", "r_name"),
+            n("nation", "nation", "n_nationkey", "n_name"),
+            n("customer", "customer", "c_custkey", "c_name"),
+            n("supplier", "supplier", "s_suppkey", "s_name"),
+            n("part", "part", "p_partkey", "p_name"),
+            n("orders", "order", "o_orderkey", "o_orderpriority"),
+        ]
+    )
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
