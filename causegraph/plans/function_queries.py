@@ -26,14 +26,14 @@ def fn_partition(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "fn_display",
-    "SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'part:' || p_partkey ELSE trim(' ' || p_name) END AS shown, CASE WHEN p_size % 2 = 0 THEN p_name || chr(10) || chr(10) || p_type || ' ' || p_brand ELSE p_name END AS retrieval, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size END AS size FROM part",
+    "SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'part:' || p_partkey ELSE trim(' ' || p_name) END AS shown, CASE WHEN p_size % 2 = 0 THEN p_name || chr(10) || chr(10) || p_type || ' ' || p_brand ELSE p_name END AS retrieval, CASE WHEN p_size % 3 = 0 THEN -1 ELSE p_size END AS size FROM part",
 )
 def fn_display(spark: SparkSession, sf: str) -> DataFrame:
     """A term's name or id, its text for retrieval, and a number that may be missing."""
     p, size = table(spark, sf, "part"), C("p_size")
     evidence = F.when(size % 2 == 0, F.array("p_type", "p_brand")).otherwise(F.array().cast("array<string>"))
     name = F.when(size % 3 != 0, F.concat(F.lit(" "), "p_name"))
-    return p.select(C("p_partkey").alias("id"), t.display(name, t.curie("part", "p_partkey")).alias("shown"), t.retrieval_text("p_name", evidence).alias("retrieval"), t.int_or(F.when(size % 3 == 0, "none").otherwise(size.cast("string"))).cast("int").alias("size"))
+    return p.select(C("p_partkey").alias("id"), t.display(name, t.curie("part", "p_partkey")).alias("shown"), t.retrieval_text("p_name", evidence).alias("retrieval"), t.int_or(F.when(size % 3 == 0, "none").otherwise(size.cast("string")), -1).cast("int").alias("size"))
 
 
 @query(
