@@ -119,7 +119,7 @@ def captures(pages: DataFrame) -> DataFrame:
 def op6_revisits(spark, sf_dir: str) -> DataFrame:
     out = resolve(captures(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")))
     shown = {name.replace("-", "_"): _get("headers", name) for name in ("date", "etag", "last-modified", "content-length", "content-type")}
-    return out.select("record_id", "canonical_url", "refers_to", "verdict", *[v.alias(k) for k, v in shown.items()], F.size("headers").cast("long").alias("n_headers"))
+    return out.select("record_id", "canonical_url", F.col("refers_to").cast("string").alias("refers_to"), "verdict", *[v.alias(k) for k, v in shown.items()], F.size("headers").cast("long").alias("n_headers"))
 
 
 ORACLE = r"""
@@ -143,6 +143,6 @@ v AS (SELECT *, CASE WHEN ref IS NULL THEN 'missing' WHEN tag IS NOT NULL THEN C
   WHEN day IS NOT NULL THEN CASE WHEN day = rday THEN 'resolved' ELSE 'mismatch' END
   WHEN digest IS NOT NULL THEN CASE WHEN digest = rdigest THEN 'resolved' ELSE 'mismatch' END ELSE 'unverified' END AS verdict FROM m),
 w AS (SELECT *, verdict IN ('resolved', 'unverified') AS merged FROM v)
-SELECT id AS record_id, site AS canonical_url, ref AS refers_to, verdict, date, coalesce(weak || tag, CASE WHEN merged THEN rtag END) AS etag, coalesce(day, CASE WHEN merged THEN rday END) AS last_modified,
+SELECT id AS record_id, site AS canonical_url, ref::VARCHAR AS refers_to, verdict, date, coalesce(weak || tag, CASE WHEN merged THEN rtag END) AS etag, coalesce(day, CASE WHEN merged THEN rday END) AS last_modified,
   CASE WHEN merged THEN rbytes::VARCHAR ELSE '0' END AS content_length, CASE WHEN merged THEN 'text/html' END AS content_type,
   (CASE WHEN merged THEN 6 WHEN c = 2 THEN 3 ELSE 4 END)::BIGINT AS n_headers FROM w"""
