@@ -8,8 +8,8 @@ documents or further down in the same one, mark the lines they cover.  Marks of
 document are merged and its text is rebuilt from the other lines, blank ones included.
 
 The table of windows, about a tenth of the text, is made once and stored.  Common
-windows are counted with map-side combine, and the join that finds their occurrences
-is one whose skewed partitions Spark splits.  Texts move once, in the last join.
+windows are counted with map-side combine and stored with their first occurrence, so the
+join that finds the later ones is one of two tables, whose skewed partitions Spark splits.  Texts move once, in the last join.
 
 Null texts stay null, empty ones empty.  A document that is repeated with its doc_id
 counts as one.  Documents whose lines all repeat earlier ones end up empty.  Rows with a
@@ -45,7 +45,7 @@ def windows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def repeated(found: DataFrame) -> DataFrame:
     """Windows (key, pos) that occur earlier."""
     first = found.groupBy("a", "b").agg(F.min(F.struct("key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
-    return found.join(first, ["a", "b"]).where(F.struct("key", "pos") > F.col("first")).select("key", "pos")
+    return found.join(stored(first, "first"), ["a", "b"]).where(F.struct("key", "pos") > F.col("first")).select("key", "pos")
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

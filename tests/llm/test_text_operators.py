@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from causegraph import storage
 from causegraph.llm import bpe, langid, lines, packing, quality, toxicity
 
 DOC = "doc_id long, text string"
@@ -365,7 +366,23 @@ def test_queries_by_name(spark, sf):
 
 def test_digests(spark, tokenizer, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    for r in bpe.op4_bpe(spark, sf).limit(20).collect():
+    for r in bpe.op4_bpe(spark, sf).collect():
         ids = ids_of(tokenizer, docs[r.doc_id] or "")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((docs[r.doc_id] or "").encode()).hexdigest())
     assert json.load(open(bpe.vocabulary_path(bpe.VOCABULARY)))["model"]["type"] == "BPE"
+
+
+def test_a_window_that_half_of_the_rows_hold_is_split(spark):
+    """The join that finds later windows splits a hot key over several tasks."""
+    conf = {"autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "8k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "adaptive.skewJoin.skewedPartitionFactor": "1.1", "adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in conf}
+    df = spark.range(20_000).selectExpr("id as doc_id", "if(id % 2 = 0, 'a\nb\nc', concat('x', id, '\ny', id, '\nz', id)) as text").repartition(8)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        later = lines.repeated(storage.stored(lines.windows(df), "windows"))
+        assert len(later.collect()) == 9_999
+        assert "skew=true" in later._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
