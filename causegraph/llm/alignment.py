@@ -40,6 +40,8 @@ VOCABULARY_A, VOCABULARY_B = bpe.VOCABULARY, pieces.VOCABULARY
 BROADCAST_ROWS = 1_000_000
 #: Groups with more pairs of tokens link distinct ids only.
 PRODUCT = 256
+#: Texts of about so many bytes are tokenised at a time.
+SLICE_BYTES = 1 << 20
 #: B's ids are below this, and so is a pair's number times 2^31. The low half of a token's number is its id; _CUT is none.
 B_IDS = 1 << 17
 _CUT, _LOW = (1 << 31) - 1, (1 << 32) - 1
@@ -58,11 +60,10 @@ def tokenised(df: DataFrame, key: str = "doc_id", text: str = "text", a: str = V
     def run(batches):
         one, two = bpe.codec(a), Library(b)
         for batch in batches:
-            for part in bpe._slices(batch, 1):
-                texts = [x or "" for x in part.column(1).to_pylist()]
+            for part in bpe._slices(batch, 1, SLICE_BYTES):
                 out: list[list[np.ndarray]] = [[], [], [], []]
-                for x, j in zip(texts, two.encode(texts)):
-                    i = np.array(one.ordinary(" " + x) if x else (), np.int64)
+                for x in part.column(1).to_pylist():
+                    i, j = (np.array(one.ordinary(" " + x), np.int64), two.encode(x)) if x else (np.zeros(0, np.int64),) * 2
                     if x and not (one_bytes(one, i) == one_bytes(two, j) == b" " + x.encode()):
                         i = j = np.zeros(0, np.int64)
                     for to, ids, lengths in ((0, i, one.lengths), (2, j, two.lengths)):
@@ -81,11 +82,15 @@ class Library:
     def __init__(self, name: str):
         import sentencepiece
 
-        self.lengths, self.starts, self.blob = (lambda p: (p.lengths, p.starts, p.blob))(pieces.pieces(name))
         self.model = sentencepiece.SentencePieceProcessor(model_file=bpe.vocabulary_path(name))
+        of = lambda i, piece: bytes([int(piece[3:-1], 16)]) if self.model.is_byte(i) else piece.replace(pieces.SPACE, " ").encode()
+        table = [of(i, self.model.id_to_piece(i)) for i in range(self.model.get_piece_size())]
+        self.lengths = np.array([len(t) for t in table], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.blob = np.frombuffer(b"".join(table), np.uint8)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x, np.int64) for x in self.model.encode(texts, num_threads=1)]
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text), np.int64)
 
 
 def one_bytes(codec, ids: np.ndarray) -> bytes:
@@ -135,15 +140,16 @@ def aligned(tokens: DataFrame) -> DataFrame:
     digest = F.sha2(F.array_join(F.zip_with("a_ids", "b_ids", lambda x, y: F.concat(x, F.lit("|"), y)), ";").cast("binary"), 256)
     at = F.zip_with("a_at", "b_at", lambda i, j: F.shiftleft(i.cast("long"), 32) + j)
     t = t.select("key", "n_a", "n_b", "n_groups", "a", "b", F.when(F.col("n_a") > 0, digest).otherwise("").alias("groups_sha256"), at.alias("at"))
-    since = lambda k: F.coalesce(F.get("at", k - 1), F.lit(0).cast("long"))  # noqa: E731  behind the cut before
-    single = lambda x, k: x - since(k) == (2 << 32) + 2
+    t = t.withColumn("gap", F.zip_with("at", F.concat(F.array(F.lit(0).cast("long")), "at"), lambda x, before: x - before))  # and null behind the last
+    single = F.lit((2 << 32) + 2)
 
-    def slices(x: Column, k: Column) -> Column:
-        part = lambda c, place: F.slice(c, place(since(k)) + 1, place(x) - place(since(k)) - 1)
+    def slices(s: Column) -> Column:
+        part = lambda c, place: F.slice(c, place(s["x"] - s["gap"]) + 1, place(s["gap"]) - 1)
         return F.struct(part("a", high).alias("a"), part("b", lambda y: low(y).cast("int")).alias("b"))
 
-    ones = F.array_compact(F.transform("at", lambda x, k: F.when(single(x, k), pair(F.get("a", high(x) - 2), F.get("b", low(x).cast("int") - 2)))))
-    more = F.array_compact(F.transform("at", lambda x, k: F.when(~single(x, k), slices(x, k))))
+    ones = F.array_compact(F.zip_with("at", "gap", lambda x, gap: F.when(gap == single, pair(F.get("a", high(x) - 2), F.get("b", low(x).cast("int") - 2)))))
+    rest = F.array_compact(F.zip_with("at", "gap", lambda x, gap: F.when(gap != single, F.struct(x.alias("x"), gap.alias("gap")))))
+    more = F.transform(rest, slices)
     t = t.select("key", "n_a", "n_b", "n_groups", "groups_sha256", ones.alias("ones"), more.alias("more"))
     many = lambda g: F.size(g["a"]).cast("long") * F.size(g["b"])
     product = lambda g: F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: pair(x, y))))
