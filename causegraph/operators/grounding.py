@@ -16,9 +16,9 @@ TOP_K, LEAST_SIMILARITY = 10, 0.0
 
 def unit(vectors: Column) -> Column:
     """Scaled to length 1 in double precision; zero vectors stay."""
-    d = F.transform(vectors, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(d, lambda x: x / norm)).otherwise(d)
+    norm = lambda d: F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
+    scaled = lambda d: t.let(norm(d), lambda n: F.when(n > 0, F.transform(d, lambda x: x / n)).otherwise(d))
+    return t.let(F.transform(vectors, lambda x: x.cast("double")), scaled)
 
 
 def dot(a: Column, b: Column) -> Column:
