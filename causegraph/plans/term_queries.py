@@ -12,23 +12,26 @@ NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]', '
 #: Terms are the first words of the benchmark's texts, two or three, in four namespaces of which one isn't wanted.
 TERMS_SQL = rf"""n AS (SELECT item_id, string_split({NORM.format("text")}, ' ') AS w FROM benchmark),
 terms AS (SELECT DISTINCT array_to_string(w[1:2 + item_id % 2], ' ') AS norm, 2 + item_id % 2 AS n, ['MESH', 'DOID', 'HP', 'GO'][1 + item_id % 4] AS db, item_id::VARCHAR AS id FROM n WHERE len(w) >= 3 AND item_id % 4 <> 3),
-d AS (SELECT doc_id, string_split({NORM.format("text")}, ' ') AS w FROM documents),
-g AS (SELECT doc_id, i - 1 AS word, w[i] || ' ' || w[i + 1] AS two, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS three FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-c AS (SELECT doc_id, word, n, db, id FROM g JOIN terms ON terms.norm = g.two AND n = 2 UNION ALL SELECT doc_id, word, n, db, id FROM g JOIN terms ON terms.norm = g.three AND n = 3)"""
+d AS (SELECT doc_id, string_split({NORM.format("text")}, ' ') AS w, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS r FROM documents),
+g AS (SELECT doc_id, i - 1 AS word, w[i] || ' ' || w[i + 1] AS two, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS three, r[i] || ' ' || r[i + 1] AS raw2, r[i] || ' ' || r[i + 1] || ' ' || r[i + 2] AS raw3
+      FROM (SELECT doc_id, w, r, unnest(range(1, len(w) + 1)) AS i FROM d)),
+m AS (SELECT doc_id, word, n, db, id, norm, raw2 AS raw FROM g JOIN terms ON terms.norm = g.two AND n = 2 UNION ALL SELECT doc_id, word, n, db, id, norm, raw3 FROM g JOIN terms ON terms.norm = g.three AND n = 3),
+c AS (SELECT doc_id, word, n, db, id, (CASE id::INT % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 ELSE 0.8 END * CASE WHEN raw = norm THEN 1.0 WHEN lower(raw[1]) || raw[2:] = norm THEN 0.9 ELSE 0.75 END)::DOUBLE AS score FROM m)"""
 
 
 def terms(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("item_id")
     b = table(spark, sf, "benchmark").select(i, t.tokens(t.scoring_text("text")).alias("w")).where(F.size("w") >= 3)
     db = F.get(F.array(*map(F.lit, ["MESH", "DOID", "HP", "GO"])), (i % 4).cast("int"))
-    rows = b.select(F.array_join(F.slice("w", F.lit(1), (2 + i % 2).cast("int")), " ").alias("text"), db.alias("db"), i.cast("string").alias("id"), F.lit("term").alias("name"))
+    rows = b.select(F.array_join(F.slice("w", F.lit(1), (2 + i % 2).cast("int")), " ").alias("text"), db.alias("db"), i.cast("string").alias("id"), F.lit("term").alias("name"), F.get(F.array(*map(F.lit, ["name", "synonym", "former"])), (i % 3).cast("int")).alias("status"))
     return dictionary.term_table(rows)
 
 
-@query("gnd_dictionary", f"WITH {TERMS_SQL} SELECT doc_id, word::INT AS word, n::INT AS n_words, db, id FROM c")
+@query("gnd_dictionary", f"WITH {TERMS_SQL} SELECT doc_id, word::INT AS word, n::INT AS n_words, db, id, round(score, 6) AS score FROM c")
 def gnd_dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    """All places of the terms of three namespaces in whole documents."""
-    return dictionary.candidates(table(spark, sf, "documents"), terms(spark, sf), "doc_id").drop("name")
+    """All places of the terms of three namespaces in whole documents, with scores by kind and case."""
+    found = dictionary.candidates(table(spark, sf, "documents"), terms(spark, sf), "doc_id")
+    return found.select("doc_id", "word", "n_words", "db", "id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -37,12 +40,13 @@ def gnd_dictionary(spark: SparkSession, sf: str) -> DataFrame:
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY word) AS k FROM l),
 s AS (SELECT doc_id, k, word, n, true AS taken, word + n AS upto FROM o WHERE k = 1
   UNION ALL SELECT o.doc_id, o.k, o.word, o.n, o.word >= s.upto, CASE WHEN o.word >= s.upto THEN o.word + o.n ELSE s.upto END FROM s JOIN o ON o.doc_id = s.doc_id AND o.k = s.k + 1)
-SELECT doc_id, word::INT AS word, n::INT AS n_words, min(db || ':' || id) AS curie FROM s JOIN c USING (doc_id, word, n) WHERE taken GROUP BY ALL""",
+SELECT doc_id, word::INT AS word, n::INT AS n_words, db || ':' || id AS curie, round(score, 6) AS score FROM s JOIN c USING (doc_id, word, n) WHERE taken
+QUALIFY row_number() OVER (PARTITION BY doc_id, word ORDER BY round(score, 6) DESC, db, id) = 1""",
 )
 def gnd_dictionary_best(spark: SparkSession, sf: str) -> DataFrame:
-    """The longest terms from the left, one for each place."""
+    """The longest terms from the left, the best one for each place."""
     found = dictionary.best(dictionary.ground(table(spark, sf, "documents"), terms(spark, sf), "doc_id"), "doc_id")
-    return found.select("doc_id", "word", "n_words", F.concat_ws(":", "db", "id").alias("curie"))
+    return found.select("doc_id", "word", "n_words", F.concat_ws(":", "db", "id").alias("curie"), F.round("score", 6).alias("score"))
 
 
 LEXICON = {"the": "Disease", "of": "Chemical", "this": "Disease"}
