@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from causegraph.functions.text import namespace
+from causegraph.storage import stored
 
 
 class DuplicateNodeError(ValueError):
@@ -85,8 +86,8 @@ def first_by_id(nodes: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def keep_complete(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges of which both ends are nodes."""
-    ids = nodes.select("id").distinct()
+    """Edges of which both ends are nodes. The ids are a table of their own, so that Spark splits the edges of a hub."""
+    ids = stored(nodes.select("id").distinct(), "ids")
     return edges.join(ids.withColumnRenamed("id", "start_id"), "start_id", "left_semi").join(ids.withColumnRenamed("id", "end_id"), "end_id", "left_semi")
 
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from causegraph.functions import edit, text as t
+from causegraph.operators import similar
+from causegraph.storage import stored
 
 TOP_K, LEAST_SIMILARITY = 10, 0.0
 
@@ -99,7 +101,7 @@ def exact_spans(texts: DataFrame, evidence: DataFrame) -> DataFrame:
     needle = F.lower(F.trim("needle"))
     key = F.coalesce(F.concat(F.lit("w"), longest), F.concat(F.least(F.lit(3), F.length(needle)).cast("string"), F.substring(needle, 1, 3)))
     e = evidence.where(F.trim("needle") != "").select("item", needle.alias("needle"), key.alias("word"))
-    wanted = e.select("word").distinct()
+    wanted = stored(e.select("word").distinct(), "wanted")  # a table of its own, so that Spark splits frequent words in the join
     lengths = sorted(r[0] for r in wanted.where("word not like 'w%'").select(F.substring("word", 1, 1)).distinct().collect())  # of 1, 2, 3
     d = texts.select("doc", F.lower("text").alias("text"))
     parts = [F.transform(F.array_distinct(_plain_words(F.col("text"))), lambda x: F.concat(F.lit("w"), x))]
@@ -127,7 +129,8 @@ def sharing_words(texts: DataFrame, evidence: DataFrame, n: int = 3, share: floa
 
     wanted = evidence.select("item", groups("needle").alias("g"))
     wanted = wanted.select("item", F.ceil(F.size("g") * share).alias("least"), F.explode("g").alias("g"))
-    keyed = texts.select("doc", F.explode(groups("text")).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi")
+    known = stored(wanted.select("g").distinct(), "wanted")  # a table of its own, so that Spark splits frequent groups in the join
+    keyed = texts.select("doc", F.explode(groups("text")).alias("g")).join(known, "g", "left_semi")
     pairs = keyed.join(wanted, "g").groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least"))
     pairs = pairs.where("n >= least").select("doc", "item")
     return pairs.join(texts.select("doc", "text"), "doc").join(evidence.select("item", "needle"), "item")
@@ -144,7 +147,9 @@ def match_labels(df: DataFrame, labels: list[str], codes: dict[str, str], name:
     exact = F.when(x.isin(labels), x)
     folded = t.lookup({v.lower(): v for v in labels}, F.lower(x))
     firm = df.withColumn("_firm", F.when(x != "", F.coalesce(exact, folded)))
-    odd = firm.where(F.col("_firm").isNull() & (x != "")).select(x.alias("_x")).distinct().withColumn("_near", edit.closest_label(labels, cutoff)(F.col("_x")))
+    allowed = df.sparkSession.createDataFrame([(v,) for v in labels], "label string")
+    near = similar.closest(firm.where(F.col("_firm").isNull()).select(x.alias("name")), allowed, cutoff)
+    odd = near.select(F.col("name").alias("_x"), F.col("label").alias("_near"))
     out = firm.withColumn("_x", x).join(odd, "_x", "left").withColumn("matched", F.coalesce("_firm", "_near")).drop("_firm", "_near", "_x")
     return out.withColumn("code", t.lookup(codes, "matched"))
 

@@ -66,17 +66,18 @@ def fn_question_target(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "fn_overlap_join",
-    "SELECT conv_id, turn, array_to_string(w, ' ') AS joined FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM conversations) WHERE len(w) >= 6",
+    r"""WITH c AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM conversations),
+p AS (SELECT conv_id, turn, w[1:len(w) // 2 + turn % 10] AS a, w[len(w) // 2 + 1:] AS b FROM c WHERE len(w) >= 2),
+k AS (SELECT *, coalesce(list_max(list_filter(range(1, least(8, len(a), len(b)) + 1), lambda k: a[len(a) - k + 1:] = b[1:k])), 0) AS k FROM p)
+SELECT conv_id, turn, array_to_string(a, ' ') || ' ' || array_to_string(b[k + 1:], ' ') AS joined FROM k""",
 )
 def fn_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Two windows of a turn that share three words, joined again, where the words make the joint plain."""
-    w = t.tokens("text")
+    """Two windows of a turn that share none to nine words, of which eight are looked for, joined again."""
     half = F.floor(F.size("w") / 2).cast("int")
-    c = table(spark, sf, "conversations").withColumn("w", w).where(F.size("w") >= 6)
-    parts = F.array(F.array_join(F.slice("w", F.lit(1), half + 1), " "), F.array_join(F.slice("w", half - 1, F.size("w")), " "))
-    # longer overlaps win, so only turns whose longest one is those three words come back as they were
-    c = c.withColumn("joined", edit.join_overlapping(parts))
-    return c.select("conv_id", "turn", F.when(F.size(F.split("joined", " ")) == F.size("w"), C("joined")).otherwise(F.array_join("w", " ")).alias("joined"))
+    c = table(spark, sf, "conversations").withColumn("w", t.tokens("text")).where(F.size("w") >= 2)
+    first = F.slice("w", F.lit(1), half + (C("turn") % 10).cast("int"))
+    parts = F.array(F.array_join(first, " "), F.array_join(F.slice("w", half + 1, F.size("w")), " "))
+    return c.select("conv_id", "turn", edit.join_overlapping(parts).alias("joined"))
 
 
 PCM = [0, 16384, -16384, 32767, -32768]

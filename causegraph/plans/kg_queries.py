@@ -45,18 +45,19 @@ CODES_SQL = "SELECT substr(p_type, 1, 1) || lpad((p_partkey % 100)::VARCHAR, 2,
 
 @query(
     "kg_icd10",
-    f"""WITH p AS ({CODES_SQL}), v AS (SELECT 'S' || lpad(vec_id::VARCHAR, 2, '0') AS code, len(embedding) AS n FROM embeddings WHERE vec_id < 100)
-SELECT DISTINCT 'node' AS kind, 'icd10:' || code AS a, 'icd10' AS b, CASE WHEN p_partkey % 100 < 10 THEN 'block' ELSE 'category' END AS c, code AS d, n::VARCHAR AS e FROM p LEFT JOIN v USING (code)
+    """WITH p AS (SELECT 'S' || p_partkey AS code, p_partkey FROM part), v AS (SELECT 'S' || vec_id AS code, len(embedding) AS n, floor(embedding[1]::DOUBLE * 1000000)::BIGINT AS first, floor(embedding[len(embedding)]::DOUBLE * 1000000)::BIGINT AS last FROM embeddings)
+SELECT DISTINCT 'node' AS kind, 'icd10:' || code AS a, 'icd10' AS b, CASE WHEN p_partkey % 100 < 10 THEN 'block' ELSE 'category' END AS c, code AS d, n || ' ' || first || ' ' || last AS e FROM p LEFT JOIN v USING (code)
 UNION ALL SELECT DISTINCT 'edge', 'icd10:' || code, 'icd10:' || substr(code, 1, 1), CASE WHEN p_partkey % 2 = 0 THEN 'related_to' ELSE 'is_a' END, NULL, NULL FROM p""",
 )
 def kg_icd10(spark: SparkSession, sf: str) -> DataFrame:
     """Codes with a kind, some with a vector, and links of which some have no kind."""
-    p = part_codes(spark, sf)
+    p = table(spark, sf, "part").select(text("S", C("p_partkey")).alias("code"), "p_partkey")
     nodes = p.select("code", F.when(C("p_partkey") % 100 < 10, "block").otherwise("category").alias("kind"))
     edges = p.select(C("code").alias("source"), F.substring("code", 1, 1).alias("target"), F.when(C("p_partkey") % 2 == 1, "is_a").alias("kind"))
-    v = table(spark, sf, "embeddings").where("vec_id < 100").select(text("S", two(C("vec_id"))).alias("code"), "embedding")
-    size = F.when(C("embedding").isNotNull(), F.size("embedding"))
-    return flat(kg.code_graph(nodes, edges, embeddings=v), ("id", "label", "class_kind", "code", size))
+    v = table(spark, sf, "embeddings").select(text("S", C("vec_id")).alias("code"), "embedding")
+    millionths = lambda i: F.floor(F.try_element_at("embedding", F.lit(i)).cast("double") * 1_000_000).cast("string")
+    held = F.when(C("embedding").isNotNull(), F.concat(F.size("embedding").cast("string"), F.lit(" "), millionths(1), F.lit(" "), millionths(-1)))
+    return flat(kg.code_graph(nodes, edges, embeddings=v), ("id", "label", "class_kind", "code", held))
 
 
 @query(
