@@ -115,25 +115,21 @@ def exact_spans(texts: DataFrame, evidence: DataFrame) -> DataFrame:
     return pairs.join(d, "doc").withColumn("_at", at).where("_at > 0").select("item", "doc", (F.col("_at") - 1).cast("long").alias("start"), (F.col("_at") - 1 + F.length("needle")).cast("long").alias("end"))
 
 
-def sharing_words(texts: DataFrame, evidence: DataFrame, n: int = 3, share: float = 0.25) -> DataFrame:
-    """(doc, item, text, needle): texts (doc, text) that have at least this share of the groups of ``n`` words in a row that
-    an item (item, needle) has, case folded. Of the texts' word groups only those of some item move."""
-    words = lambda c: t.tokens(F.lower(F.col(c)))
-
-    def groups(c: str) -> Column:
-        def of(w: Column) -> Column:
-            last = F.size(w) - (n - 1)
-            return F.array_distinct(F.transform(F.when(last > 0, F.sequence(F.lit(0), last - 1)), lambda i: F.xxhash64(F.slice(w, i + 1, n))))
-
-        return t.let(words(c), of)
-
-    wanted = evidence.select("item", groups("needle").alias("g"))
-    wanted = wanted.select("item", F.ceil(F.size("g") * share).alias("least"), F.explode("g").alias("g"))
-    known = stored(wanted.select("g").distinct(), "wanted")  # a table of its own, so that Spark splits frequent groups in the join
-    keyed = texts.select("doc", F.explode(groups("text")).alias("g")).join(known, "g", "left_semi")
-    pairs = keyed.join(wanted, "g").groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least"))
-    pairs = pairs.where("n >= least").select("doc", "item")
-    return pairs.join(texts.select("doc", "text"), "doc").join(evidence.select("item", "needle"), "item")
+def search_spans(texts: DataFrame, evidence: DataFrame, least: float = 0.7, block: int = 256) -> DataFrame:
+    """(item, doc, start, end, kind, text, similarity): where each item (item, needle) stands in each text (doc, text), exactly
+    or at the most similar place of at least ``least``, for every pair that has one.
+
+    The items are a set of queries that every text is held against, dealt out in blocks; a text is read once for a block.
+    Runs of words are compared only if bounds that are proven allow them the ratio, so nothing is lost, short needles included.
+    """
+    e = stored(evidence.where(F.trim("needle") != "").select("item", "needle"), "needles")
+    n = max(1, -(-e.count() // block))
+    number = F.pmod(F.xxhash64(F.lit(6), "item"), F.lit(n)).cast("int")
+    blocks = e.groupBy(number.alias("block")).agg(F.collect_list(F.struct("item", "needle")).alias("needles"))
+    dealt = texts.select("doc", "text", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(stored(blocks, "blocks"), "block")
+    found = dealt.repartition(dealt.sparkSession.sparkContext.defaultParallelism * 4, "doc", "block")
+    found = found.select("doc", "needles", F.explode(edit.needle_spans(least)(F.col("text"), F.transform("needles", lambda x: x["needle"]))).alias("s"))
+    return found.select(F.get("needles", F.col("s.i"))["item"].alias("item"), "doc", "s.start", "s.end", "s.kind", "s.text", "s.similarity")
 
 
 def find_spans(df: DataFrame, text: str = "text", evidences: str = "evidences", least: float = 0.7, case_sensitive: bool = False) -> DataFrame:
