@@ -53,22 +53,28 @@ def dlg_gate_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def streamed(spark: SparkSession, sf: str, name: str, process) -> DataFrame:
-    """A table read as a file stream and put through ``process`` until it is used up; state and results lie in the shared folder.
-
-    Stateful processors need the RocksDB state store, which the session keeps from the first stream on.
-    """
-    from causegraph.storage import shared_root
-    from causegraph.streaming import processors
-
-    work = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A table read as a file stream and put through ``process`` until it is used up; state and results lie in the shared folder."""
     path = f"{sf}/{name}.parquet"
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     # a stream reads a folder: the table's own, or, if it is one file, the only file of that name in its folder
     source = reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf) if _is_file(spark, path) else reader.parquet(path)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", processors.ROCKSDB)
-    out = process(source)
-    run = out.writeStream.format("parquet").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start(f"{work}/out")
-    run.awaitTermination()
+    return run_stream(spark, source, process, name)
+
+
+def run_stream(spark: SparkSession, source: DataFrame, process, name: str) -> DataFrame:
+    """A streaming table put through ``process`` until it is used up. The state store provider is set for this stream's start only."""
+    from causegraph.storage import shared_root
+    from causegraph.streaming import processors
+
+    work, provider = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, processors.ROCKSDB)
+    try:
+        out = process(source)
+        run = out.writeStream.format("parquet").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start(f"{work}/out")
+        run.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     return spark.read.schema(out.schema).parquet(f"{work}/out")
 
 
@@ -141,6 +147,37 @@ def dlg_idle_flush(spark: SparkSession, sf: str) -> DataFrame:
     return dialogue.idle_flushes(e, "user_id", "ts", "event_id", 86_400).withColumnRenamed("flush", "flush_no")
 
 
+IDLE_DAY, POLL_HOUR = 86_400_000, 3_600_000
+
+
+@query(
+    "dlg_idle_stream",
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+g AS (SELECT user_id, k, t AS since, t AS first, event_type AS text, 1 AS n, NULL::BIGINT AS idle_at, 0 AS idle_n, '' AS idle_text, NULL::BIGINT AS full_at, 0 AS full_n, '' AS full_text FROM e WHERE k = 1
+  UNION ALL SELECT user_id, k, CASE WHEN n2 >= 4 THEN t WHEN due < t THEN due ELSE since END, CASE WHEN n1 = 0 THEN t ELSE first END, CASE WHEN n2 >= 4 THEN '' ELSE x END, CASE WHEN n2 >= 4 THEN 0 ELSE n2 END,
+    CASE WHEN due < t THEN due END, n, text, CASE WHEN n2 >= 4 THEN t END, n2, x FROM (
+    SELECT *, n1 + 1 AS n2, CASE WHEN n1 = 0 THEN event_type ELSE text || ' ' || event_type END AS x FROM (
+      SELECT e.user_id, e.k, e.t, e.event_type, g.since, g.first, g.n, g.text, g.due, CASE WHEN g.due < e.t THEN 0 ELSE g.n END AS n1
+      FROM (SELECT *, CASE WHEN n > 0 THEN greatest(since + {IDLE_DAY}000, first + {POLL_HOUR}000) END AS due FROM g) AS g JOIN e ON e.user_id = g.user_id AND e.k = g.k + 1))),
+z AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS r FROM g)
+SELECT user_id, idle_at AS at, idle_n::BIGINT AS n, idle_text AS text, 'idle' AS why FROM g WHERE idle_at IS NOT NULL UNION ALL SELECT user_id, full_at, full_n, full_text, 'words' FROM g WHERE full_at IS NOT NULL
+UNION ALL SELECT user_id, greatest(since + {IDLE_DAY}000, first + {POLL_HOUR}000), n, text, 'idle' FROM z WHERE r = 1 AND n > 0""",
+)
+def dlg_idle_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The gate with its idle flush as a stream on event time: four words, a day's patience, an hour's wait at least."""
+    from causegraph.storage import shared_root
+    from causegraph.streaming import processors
+
+    e = table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("text"))
+    # a row of no user, long after the others, carries the watermark past the last flush
+    last = e.agg(F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"), F.lit(-1).cast(e.schema["event_id"].dataType).alias("event_id"), (F.max("ts") + F.expr("interval 400 days")).alias("ts"), F.lit("").alias("text")).where("ts is not null")
+    path = f"{shared_root(spark)}/moments-{uuid.uuid4().hex}"
+    e.unionByName(last).write.parquet(path)
+    # rows come in any order here, so the watermark waits for as long as the table lasts
+    gate = lambda df: processors.event_idle_gate_stream(df, "user_id", "ts", "event_id", 4, IDLE_DAY, POLL_HOUR, "200 days")
+    return run_stream(spark, spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 2).parquet(path), gate, "moments")
+
+
 @query("dlg_load_shed", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 20")
 def dlg_load_shed(spark: SparkSession, sf: str) -> DataFrame:
     return etl.latest(table(spark, sf, "events"), ["user_id"], "event_id", dialogue.MOST_PENDING).select("event_id")
