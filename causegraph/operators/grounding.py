@@ -92,25 +92,23 @@ def exact_spans(texts: DataFrame, evidence: DataFrame) -> DataFrame:
     """(item, doc, start, end) of the first place, case folded, of each item (item, needle) in each text (doc, text) that holds it.
 
     Items and texts meet on keys rather than each with each: a needle's longest inner word,
-    or, where it has none, its first characters, three at most.  Of the texts' words and
-    groups of characters only those that some needle is keyed by move.
+    or, where it has none, its first characters, three at most.
     """
     words = _plain_words(F.col("needle"))
     inner = F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2))
     longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
     needle = F.lower(F.trim("needle"))
     key = F.coalesce(F.concat(F.lit("w"), longest), F.concat(F.least(F.lit(3), F.length(needle)).cast("string"), F.substring(needle, 1, 3)))
-    e = evidence.where(F.trim("needle") != "").select("item", needle.alias("needle"), key.alias("word"))
-    wanted = stored(e.select("word").distinct(), "wanted")  # a table of its own, so that Spark splits frequent words in the join
-    lengths = sorted(r[0] for r in wanted.where("word not like 'w%'").select(F.substring("word", 1, 1)).distinct().collect())  # of 1, 2, 3
+    # a table of its own, met in a single join on words, so that Spark splits the frequent ones
+    e = stored(evidence.where(F.trim("needle") != "").select("item", needle.alias("needle"), key.alias("word")), "wanted")
+    lengths = sorted(r[0] for r in e.where("word not like 'w%'").select(F.substring("word", 1, 1)).distinct().collect())  # of 1, 2, 3
     d = texts.select("doc", F.lower("text").alias("text"))
     parts = [F.transform(F.array_distinct(_plain_words(F.col("text"))), lambda x: F.concat(F.lit("w"), x))]
     for n in lengths:
         last = F.length("text") - (int(n) - 1)
         grams = F.transform(F.when(last > 0, F.sequence(F.lit(1), last)), lambda i: F.concat(F.lit(n), F.substr("text", i, F.lit(int(n)))))
         parts.append(F.coalesce(F.array_distinct(grams), F.array().cast("array<string>")))
-    keyed = d.select("doc", F.explode(F.concat(*parts)).alias("word")).join(wanted, "word", "left_semi")
-    pairs = keyed.join(e, "word").select("doc", "item", "needle")
+    pairs = d.select("doc", F.explode(F.concat(*parts)).alias("word")).join(e, "word").select("doc", "item", "needle")
     at = F.expr("locate(needle, text)")
     return pairs.join(d, "doc").withColumn("_at", at).where("_at > 0").select("item", "doc", (F.col("_at") - 1).cast("long").alias("start"), (F.col("_at") - 1 + F.length("needle")).cast("long").alias("end"))
 

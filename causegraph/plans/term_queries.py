@@ -94,12 +94,14 @@ def gnd_annotate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "gnd_node_vectors",
-    "SELECT 'part:' || p_partkey AS id, (SELECT count(DISTINCT x) FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS x))::BIGINT AS n_words FROM part",
+    """WITH v AS (SELECT p_partkey, [len(list_distinct(string_split(lower(p_name), ' '))), length(p_name), length(p_name) - length(replace(lower(p_name), 'e', ''))]::DOUBLE[] AS v FROM part)
+SELECT 'part:' || p_partkey AS id, len(v)::INT AS dim, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS words, round(v[2] / sqrt(list_inner_product(v, v)), 6) AS letters, round(v[3] / sqrt(list_inner_product(v, v)), 6) AS es FROM v""",
 )
 def gnd_node_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors of nodes' names by an injected encoder (here the number of distinct words, as a vector of one), as an index holds them."""
+    """Vectors of nodes' names by an injected encoder (distinct words, characters, and how often e stands), as an index holds them."""
     nodes = table(spark, sf, "part").select(t.curie("part", "p_partkey").alias("id"), F.lit("part").alias("label"), F.col("p_name").alias("name"))
-    held = grounding.embed(nodes, "name", lambda x: [float(len(set(x.lower().split(" "))))])
-    assert grounding.vector_dimension(held, "part") in (1, None)
-    index = grounding.vector_index(held, "part")  # unit vectors: of length one, whatever they were
-    return held.join(index.where("vector[0] = 1.0").select("id"), "id").select("id", F.col("embedding")[0].cast("long").alias("n_words"))
+    held = grounding.embed(nodes, "name", lambda x: [float(len(set(x.lower().split(" ")))), float(len(x)), float(x.lower().count("e"))])
+    dim = grounding.vector_dimension(held, "part")
+    index = grounding.vector_index(held, "part")
+    component = lambda i: F.round(F.col("vector")[i], 6)
+    return index.select("id", F.lit(dim).alias("dim"), component(0).alias("words"), component(1).alias("letters"), component(2).alias("es"))
