@@ -49,24 +49,42 @@ def expand_ranges(ranges: DataFrame, codes: DataFrame, code: str, low: str = "ra
     return r.join(c, "_k").where((F.col(code) >= F.col(low)) & (F.col(code) <= upto)).drop("_k")
 
 
-def closure(edges: DataFrame, child: str, parent: str, rounds: int = 64) -> DataFrame:
-    """All (node, ancestor) pairs of a hierarchy, cycles permitted. Each round joins the newest pairs with the edges and
-    stores only those that no round had before."""
-    e = stored(edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).where("_c is not null and _p is not null").distinct(), "edges")
-    new = e.select(F.col("_c").alias("node"), F.col("_p").alias("ancestor"))
+def closure(edges: DataFrame, child: str, parent: str, rounds: int = 40) -> DataFrame:
+    """All (node, ancestor) pairs of a hierarchy, cycles permitted.
+
+    Round r joins walks of exactly 2^r steps with all pairs so far, which are up to 2^r steps apart, so that a chain of n
+    nodes takes log2(n) rounds and not n.  A round without new pairs is the last.
+    """
+    pair = lambda a, b: [F.col(a).alias("node"), F.col(b).alias("ancestor")]
+    walks = stored(edges.select(*pair(child, parent)).where("node is not null and ancestor is not null").distinct(), "walks")
+    seen = [walks]
+    for _ in range(rounds):
+        first = walks.select("node", F.col("ancestor").alias("_via"))
+        onward = lambda pairs: first.join(pairs.withColumnRenamed("node", "_via"), "_via").select("node", "ancestor").distinct()  # noqa: B023, E731
+        so_far = union_all(seen)
+        longer, walks = onward(so_far).unionByName(walks).distinct(), stored(onward(walks), "walks")
+        new = stored(longer.join(so_far, ["node", "ancestor"], "left_anti"), "pairs")
+        if new.isEmpty():
+            return so_far
+        seen.append(new)
+    raise ValueError(f"the hierarchy is deeper than 2^{rounds}")
+
+
+def below(edges: DataFrame, roots: list[str], child: str, parent: str, rounds: int = 10_000) -> DataFrame:
+    """Distinct nodes that are below (or are) one of the roots, cycles permitted.
+
+    The search goes down from the roots: a round joins the nodes found last with the edges and stores those not found
+    before, so that nothing is made but the nodes asked for, each of them once.  A root must be in an edge.
+    """
+    e = stored(edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).distinct(), "edges")
+    new = stored(e.select(F.explode(F.array("_c", "_p")).alias("node")).where(F.col("node").isin(roots)).distinct(), "found")
     seen = [new]
     for _ in range(rounds):
-        step = new.join(e, F.col("ancestor") == F.col("_c")).select("node", F.col("_p").alias("ancestor")).distinct()
-        new = stored(step.join(union_all(seen), ["node", "ancestor"], "left_anti"), "pairs")
+        step = e.join(new, F.col("_p") == F.col("node")).select(F.col("_c").alias("node")).where("node is not null").distinct()
+        new = stored(step.join(union_all(seen), "node", "left_anti"), "found")
         if new.isEmpty():
             return union_all(seen)
         seen.append(new)
+        if len(seen) == 16:  # deep hierarchies: few tables to read in a round
+            seen = [stored(union_all(seen), "found")]
     raise ValueError(f"the hierarchy is deeper than {rounds}")
-
-
-def below(edges: DataFrame, roots: list[str], child: str, parent: str) -> DataFrame:
-    """Distinct nodes that are below (or are) one of the roots."""
-    all_pairs = closure(edges, child, parent)
-    under = all_pairs.where(F.col("ancestor").isin(roots)).select("node")
-    own = edges.select(F.col(child).alias("node")).unionByName(edges.select(F.col(parent).alias("node"))).where(F.col("node").isin(roots))
-    return under.unionByName(own).distinct()

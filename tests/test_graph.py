@@ -64,6 +64,7 @@ def test_hierarchies(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "c string, p string")
     assert rows(hierarchy.closure(e, "c", "p")) == [*[(i, j) for i in "abc" for j in "abc"], ("x", "y")]
     assert rows(hierarchy.below(e, ["y"], "c", "p")) == [("x",), ("y",)]
+    assert rows(hierarchy.below(e, ["a", "nowhere"], "c", "p")) == [("a",), ("b",), ("c",)]
     r = hierarchy.code_ranges(spark.createDataFrame([(1, "A40-A41; (B20), C1 - D2"), (2, "")], "i int, c string"), "c")
     assert rows(r, "i", "range_from", "range_to") == [(1, "A40", "A41"), (1, "B20", "B20"), (1, "C1", "D2")]
     codes = spark.createDataFrame([("A40",), ("A40.1",), ("A41.9",), ("A42",), ("D2",), ("C9",)], "code string")
@@ -138,3 +139,27 @@ def test_build(spark):
     emb = spark.createDataFrame([("A00", [1.0, 0.0])], "code string, embedding array<double>")
     nodes, edges = kg.build({"icd10": {"nodes": n, "edges": e, "embeddings": emb}, "acme": {"nodes": n, "edges": e}})
     assert rows(nodes, "source", "id") == [("acme", "icd10:A00"), ("icd10", "icd10:A00")] and rows(edges, "type") == [("related_to",)] * 2
+
+
+def test_closure_takes_log_rounds_and_below_makes_only_what_it_returns(spark, monkeypatch):
+    """A chain of 40 nodes, a cycle of 5 and a diamond; the tables stored are counted."""
+    made = []
+    keep = hierarchy.stored
+    monkeypatch.setattr(hierarchy, "stored", lambda df, name: made.append((name, out := keep(df, name))) or out)
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(39)]
+    pairs = [*chain, *[(f"r{i}", f"r{(i + 1) % 5}") for i in range(5)], ("d", "l"), ("d", "m"), ("l", "t"), ("m", "t"), ("d", "l"), (None, "t"), ("t", None)]
+    edges = spark.createDataFrame(pairs, "c string, p string")
+    want = {(f"n{i:02}", f"n{j:02}") for i in range(40) for j in range(i + 1, 40)} | {(f"r{i}", f"r{j}") for i in range(5) for j in range(5)} | {("d", "l"), ("d", "m"), ("d", "t"), ("l", "t"), ("m", "t")}
+    got = rows(hierarchy.closure(edges, "c", "p"))
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum(name == "pairs" for name, _ in made) <= 7  # log2(39) rounds and one without new pairs
+    with pytest.raises(ValueError):
+        hierarchy.closure(edges, "c", "p", rounds=2)
+    made.clear()
+    assert rows(hierarchy.below(edges, ["n20", "t"], "c", "p")) == [("d",), ("l",), ("m",), *[(f"n{i:02}",) for i in range(21)], ("t",)]
+    found = [df.count() for name, df in made if name == "found"]
+    assert max(found) <= 25 and len(found) <= 25
+    with pytest.raises(ValueError):
+        hierarchy.below(edges, ["n39"], "c", "p", rounds=3)
+    empty = spark.createDataFrame([], "c string, p string")
+    assert rows(hierarchy.closure(empty, "c", "p")) == [] and rows(hierarchy.below(empty, ["a"], "c", "p")) == []
