@@ -183,6 +183,66 @@ def dlg_load_shed(spark: SparkSession, sf: str) -> DataFrame:
     return etl.latest(table(spark, sf, "events"), ["user_id"], "event_id", dialogue.MOST_PENDING).select("event_id")
 
 
+WAITING = 3
+
+
+@query(
+    "dlg_pending_stream",
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER w AS k, event_type IN ('purchase', 'click', 'view') AS done,
+  CASE WHEN event_type = 'purchase' THEN lag(event_id, 1) OVER w WHEN event_type = 'click' THEN lag(event_id, 2) OVER w WHEN event_type = 'view' THEN lag(event_id, 5) OVER w ELSE event_id END AS request
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+q AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, []::BIGINT[] AS queue, NULL::BIGINT AS request, NULL::VARCHAR AS why FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT e.user_id, e.k, e.event_id, CASE WHEN e.done THEN list_filter(q.queue, lambda x: x <> e.request) WHEN len(q.queue) = {WAITING} THEN list_append(q.queue[2:], e.request) ELSE list_append(q.queue, e.request) END,
+    CASE WHEN e.done THEN e.request ELSE q.queue[1] END, CASE WHEN e.done THEN CASE WHEN list_contains(q.queue, e.request) THEN 'done' END WHEN len(q.queue) = {WAITING} THEN 'shed' END
+  FROM q JOIN (SELECT user_id, k, event_id, done, coalesce(request, -1) AS request FROM e) AS e ON e.user_id = q.user_id AND e.k = q.k + 1)
+SELECT user_id, event_id, request, why, len(queue) AS waiting FROM q WHERE why IS NOT NULL""",
+)
+def dlg_pending_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Signups and errors are requests; purchases, clicks and views answer what came one, two or five events before, if it waits."""
+    from pyspark.sql import Window
+
+    from causegraph.storage import shared_root
+    from causegraph.streaming import processors
+
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    back = {"purchase": 1, "click": 2, "view": 5}
+    request = F.when(F.col("event_type") == "purchase", F.lag("event_id", 1).over(w)).when(F.col("event_type") == "click", F.lag("event_id", 2).over(w)).when(F.col("event_type") == "view", F.lag("event_id", 5).over(w))
+    done = F.coalesce(F.col("event_type").isin(*back), F.lit(False))
+    e = table(spark, sf, "events").select("user_id", "event_id", F.when(done, request).otherwise(F.col("event_id")).alias("request"), done.alias("done"))
+    folder = f"{shared_root(spark)}/requests-{uuid.uuid4().hex}"
+    e.write.parquet(folder)
+    source = spark.readStream.schema(e.schema).parquet(folder)
+    return run_stream(spark, source, lambda df: processors.pending_stream(df, "user_id", "event_id", "request", WAITING), "pending")
+
+
+BLOB = 1000
+
+
+@query(
+    "dlg_live_blobs",
+    f"""WITH h AS (SELECT conv_id, hex(encode(string_agg(coalesce(text, ''), chr(10) ORDER BY turn))) AS h FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+n AS (SELECT *, (length(h) // 2 + {BLOB - 1}) // {BLOB} AS n FROM h)
+SELECT conv_id, i AS blob_no, substr(h, i * {2 * BLOB} + 1, {2 * BLOB}) AS blob, FALSE AS ended FROM (SELECT conv_id, h, unnest(generate_series(0, n - 1)) AS i FROM n WHERE n > 0)
+UNION ALL SELECT conv_id, n, NULL, TRUE FROM n""",
+)
+def dlg_live_blobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations recorded as sessions, read back as a stream of blobs and delivered to an outbox."""
+    from pyspark.sql import Window
+
+    from causegraph.sources import live
+    from causegraph.storage import shared_root
+
+    work = f"{shared_root(spark)}/live-{uuid.uuid4().hex}"
+    text = F.coalesce("text", F.lit(""))
+    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) == 1
+    spoken = table(spark, sf, "conversations").select("conv_id", "turn", F.when(first, text).otherwise(F.concat(F.lit("\n"), text)).cast("binary").alias("blob"))
+    live.record_sessions(spoken, "conv_id", "turn", "blob", f"{work}/sessions")
+    blobs = live.session_blobs(spark, f"{work}/sessions", BLOB)
+    live.deliver(blobs, f"{work}/outbox", f"{work}/checkpoint", availableNow=True).awaitTermination()
+    got = live.delivered(spark, f"{work}/outbox", blobs.schema)
+    return got.select(F.col("session").cast("long").alias("conv_id"), F.col("at").alias("blob_no"), F.hex("blob").alias("blob"), F.col("end").alias("ended"))
+
+
 @query("dlg_languages_pinned", "SELECT lang, count(*) AS n, row_number() OVER (ORDER BY lang <> 'en', lang) AS ord FROM documents WHERE lang IS NOT NULL GROUP BY lang")
 def dlg_languages_pinned(spark: SparkSession, sf: str) -> DataFrame:
     """Languages with English first; the window is over one row for each language."""

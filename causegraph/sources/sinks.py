@@ -79,9 +79,3 @@ def cached(df: DataFrame, path: str) -> DataFrame:
     """The JSON at the path; written first if it isn't there."""
     df.write.mode("ignore").json(path)
     return df.sparkSession.read.schema(df.schema).json(path)
-
-
-def push(df: DataFrame, send, checkpoint: str):
-    """Hand each micro-batch's rows, as JSON texts, to ``send``; for sockets and queues."""
-    to_json = df.select(F.to_json(F.struct("*")).alias("value"))
-    return to_json.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda b, n: [send(r.value) for r in b.toLocalIterator()]).start()

@@ -250,6 +250,46 @@ class Chunks(StatefulProcessor):
         pass
 
 
+class Pending(StatefulProcessor):
+    """The requests of a session that wait for an answer, at most ``most`` of them: a new one beyond that drops the oldest.
+
+    Input: key, order, request, done (false: it comes in, true: it has been answered, in whatever order).
+    Output: key, order, request, why (``done``, or ``shed`` as a warning), waiting (how many are left).
+    Answers to requests that were dropped or never came in are passed over; the queue lives in the state,
+    so that its bounds hold over micro-batches and restarts.
+    """
+
+    def __init__(self, key: str, order: str, request: str, most: int):
+        if most < 1:
+            raise ValueError("at least one request may wait")
+        self.key, self.order, self.request, self.most = key, order, request, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.queue = handle.getListState("queue", "request long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        queue = dict.fromkeys(int(r[0]) for r in self.queue.get())  # in the order of their arrival
+        out = []
+        for at, request, done in _columns(pd.concat(list(rows)).sort_values(self.order, kind="stable"), self.order, self.request, "done"):
+            if request is None or request != request:
+                continue
+            request = int(request)
+            if done and request in queue:
+                del queue[request]
+                out.append((key[0], at, request, "done", len(queue)))
+            elif not done:
+                queue.setdefault(request)
+                if len(queue) > self.most:
+                    oldest = next(iter(queue))
+                    del queue[oldest]
+                    out.append((key[0], at, oldest, "shed", len(queue)))
+        self.queue.put([(r,) for r in queue]) if queue else self.queue.clear()
+        yield pd.DataFrame(out, columns=[self.key, self.order, self.request, "why", "waiting"])
+
+    def close(self) -> None:
+        pass
+
+
 def _kind(df: DataFrame, c: str) -> str:
     return df.schema[c].dataType.simpleString()
 
@@ -281,8 +321,7 @@ def chunk_stream(df: DataFrame, key: str, order: str, size: int, keep_tail: bool
     return df.groupBy(key).transformWithStateInPandas(Chunks(key, order, size, keep_tail), outputStructType=schema, outputMode="append", timeMode="none")
 
 
-def shed(batch: DataFrame, key: str, order: str, most: int = 20) -> DataFrame:
-    """For foreachBatch: the newest ``most`` pending rows of each key."""
-    from causegraph.operators.etl import latest
-
-    return latest(batch, [key], order, most)
+def pending_stream(df: DataFrame, key: str, order: str, request: str, most: int = 20) -> DataFrame:
+    """``request`` is a whole number; see :class:`Pending`."""
+    schema = f"`{key}` {_kind(df, key)}, `{order}` {_kind(df, order)}, `{request}` long, why string, waiting long"
+    return df.groupBy(key).transformWithStateInPandas(Pending(key, order, request, most), outputStructType=schema, outputMode="append", timeMode="none")
