@@ -6,7 +6,7 @@ Edges: start_id, end_id, type, source and properties.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, Observation, functions as F, Window
 
 from causegraph.functions.text import namespace
 from causegraph.storage import stored
@@ -20,6 +20,10 @@ class MissingNodeError(ValueError):
     """An edge ends at an id that no node has."""
 
 
+class BadImportError(ValueError):
+    """An import rejected more rows than it tolerates."""
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Union by name; attributes that a frame lacks are NULL there."""
     out = frames[0]
@@ -98,24 +102,84 @@ def import_graph(nodes: DataFrame, edges: DataFrame, order: list[Column] | None
     return first, keep_complete(edges, nodes)  # the ids are the same as those of the first nodes, without their sort
 
 
+def checked_import(nodes: DataFrame, edges: DataFrame, order: list[Column] | None = None, tolerance: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, int]]:
+    """Bulk import that accounts for every row: nodes, edges, rejects and the number of rejects by reason.
+
+    Rejected are, by the first reason that holds: nodes and edges with a ``value`` that its column's type cannot
+    hold, elements of arrays included (but text that is empty is null), nodes without an id (``no id``), nodes of an id that an earlier one in the
+    order has (``duplicate``; of rows that are equal in the order any one stays), and edges whose start or end is no
+    imported node (``no start``, ``no end``; a null end is none).  rejects: kind, reason, start_id (a node's id),
+    end_id, source, and the values as read in ``row`` (JSON).  The numbers are observed while the rejects are written;
+    beyond ``tolerance`` of them the import fails before it returns a table.
+    """
+    n, e = _accounted(nodes), _accounted(edges)
+    reason = F.when(~F.col("_fits"), "value").when(F.col("id").isNull(), "no id")
+    n = stored(n.withColumns({"_reason": reason, "_no": F.monotonically_increasing_id()}), "import_nodes")
+    # Spark keeps one row of each id in a task before it shuffles for the first one; rows meet them by their numbers and
+    # edges by ids that are a table of their own, so that neither an id of very many rows nor a hub is one task's work
+    ids = stored(first_by_id(n.where("_reason is null"), order or [F.col("source")]).select("id", "_no"), "import_ids")
+    n = n.join(ids.select("_no", F.lit(True).alias("_first")), "_no", "left")
+    n = stored(n.withColumn("_reason", F.coalesce("_reason", F.when(F.col("_first").isNull(), "duplicate"))), "import_nodes")
+    for end in ("start", "end"):
+        e = e.join(ids.select(F.col("id").alias(f"{end}_id"), F.lit(True).alias(f"_{end}")), f"{end}_id", "left")
+    reason = F.when(~F.col("_fits"), "value").when(F.col("_start").isNull(), "no start").when(F.col("_end").isNull(), "no end")
+    e = stored(e.withColumn("_reason", reason), "import_edges")
+
+    def rejected(df: DataFrame, kind: str, start: str, end: Column) -> DataFrame:
+        return df.where("_reason is not null").select(F.lit(kind).alias("kind"), F.col("_reason").alias("reason"), F.col(start).alias("start_id"), end.alias("end_id"), "source", F.col("_row").alias("row"))
+
+    seen = Observation()
+    counts = [F.count(F.when(F.col("reason") == r, 1)).alias(r) for r in REASONS]
+    both = rejected(n, "node", "id", F.lit(None).cast("string")).unionByName(rejected(e, "edge", "start_id", F.col("end_id")))
+    rejects = stored(both.observe(seen, *counts), "import_rejects")
+    found = {r: seen.get[r] for r in REASONS}
+    if tolerance is not None and sum(found.values()) > tolerance:
+        raise BadImportError(f"more than {tolerance} rows rejected: {found}")
+    own = ("_fits", "_row", "_reason", "_no", "_first", "_start", "_end")
+    keep = lambda df: df.where("_reason is null").drop(*own)
+    return keep(n), keep(e), rejects, found
+
+
+REASONS = ("value", "no id", "duplicate", "no start", "no end")
+
+
+def _accounted(df: DataFrame) -> DataFrame:
+    """Typed, with ``_row`` (the values as read, as JSON) and ``_fits``: whether every text that isn't empty could be cast."""
+    raw = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_in"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("_row"))
+    fits, out = F.lit(True), []
+    for c in df.columns:
+        text = F.col(f"_in.`{c}`")
+        name, x = _cast(c, text)
+        out.append(x.alias(name))
+        if name != c:
+            kind = c.partition(":")[2]
+            parts = F.split(text, ";") if kind.endswith("[]") else F.array(text.cast("string"))
+            bad = lambda v: v.isNotNull() & (F.trim(v) != "") & v.try_cast(TYPES[kind.removesuffix("[]")]).isNull()  # noqa: B023, E731
+            fits = fits & ~F.coalesce(F.exists(parts, bad), F.lit(False))
+    return raw.select(*out, fits.alias("_fits"), "_row")
+
+
 #: Header suffixes and the types they stand for.
 TYPES = {"int": "int", "long": "bigint", "float": "double", "double": "double", "boolean": "boolean", "string": "string"}
 
 
+def _cast(header: str, x: Column) -> tuple[str, Column]:
+    """The name in a header ``name:type`` or ``name:type[]`` and the text as that type; arrays are parted by semicolons."""
+    name, found, kind = header.partition(":")
+    base = kind.removesuffix("[]")
+    if not found or base not in TYPES or not name:
+        return header, x
+    if kind.endswith("[]"):
+        return name, F.when(x != "", F.split(x, ";")).try_cast(f"array<{TYPES[base]}>")
+    return name, x.try_cast(TYPES[base])
+
+
 def typed(df: DataFrame) -> DataFrame:
-    """Columns named ``name:type`` or ``name:type[]`` cast from text and renamed; arrays are parted by semicolons."""
+    """Columns named ``name:type`` or ``name:type[]`` cast from text and renamed."""
     out = []
     for c in df.columns:
-        name, found, kind = c.partition(":")
-        base = kind.removesuffix("[]")
-        x = F.col(f"`{c}`")
-        if not found or base not in TYPES or not name:
-            out.append(x)
-        elif kind.endswith("[]"):
-            parts = F.when(x != "", F.split(x, ";"))
-            out.append(parts.try_cast(f"array<{TYPES[base]}>").alias(name))
-        else:
-            out.append(x.try_cast(TYPES[base]).alias(name))
+        name, x = _cast(c, F.col(f"`{c}`"))
+        out.append(x.alias(name))
     return df.select(*out)
 
 

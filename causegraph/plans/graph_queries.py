@@ -146,6 +146,41 @@ def graph_import(spark: SparkSession, sf: str) -> DataFrame:
     return rows.unionByName(complete.select(F.lit("edge").alias("kind"), F.col("start_id").alias("a"), F.col("end_id").alias("b"), F.col("type").alias("c"), F.col("source").alias("d")))
 
 
+@query(
+    "graph_import_rejects",
+    """WITH n AS (SELECT 'supplier:' || s_suppkey AS id, s_suppkey % 7 <> 0 AS fits FROM supplier),
+e AS (SELECT 'part:' || l_partkey AS s, CASE WHEN l_suppkey % 9 <> 0 THEN 'supplier:' || l_suppkey END AS t, l_suppkey % 7 <> 0 AS known, l_quantity FROM lineitem),
+f AS (SELECT *, CASE WHEN l_quantity > 48 THEN 'value' WHEN t IS NULL OR NOT known THEN 'no end' END AS reason FROM e),
+r AS (SELECT 'node' AS kind, 'value' AS reason, id AS start_id, NULL AS end_id, 1 AS n FROM n WHERE NOT fits
+  UNION ALL SELECT 'node', 'no id', NULL, NULL, count(*) FROM supplier WHERE s_suppkey % 4 = 0 HAVING count(*) > 0
+  UNION ALL SELECT 'node', 'duplicate', 'supplier:' || s_suppkey, NULL, 1 FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey % 7 <> 0
+  UNION ALL SELECT 'edge', reason, s, t, count(*) FROM f WHERE reason IS NOT NULL GROUP BY ALL)
+SELECT kind, reason, start_id, end_id, sum(n)::BIGINT AS n, NULL::DOUBLE AS total FROM r GROUP BY ALL
+UNION ALL SELECT 'kept node', NULL, 'supplier:' || s_suppkey, NULL, 1, s_acctbal FROM supplier WHERE s_suppkey % 7 <> 0
+UNION ALL SELECT 'kept edge', NULL, s, t, count(*), sum(l_quantity)::DOUBLE FROM f WHERE reason IS NULL GROUP BY ALL""",
+)
+def graph_import_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers and what they deliver as text with typed headers. Every seventh balance is no number, every fifth
+    supplier is there twice (under another source that comes later, with a good balance only where the first has one),
+    every fourth has a twin without an id; every ninth supplier's edges have no end, and large quantities are no numbers."""
+    k = F.col("s_suppkey")
+    balance = F.when(k % 7 != 0, F.col("s_acctbal").cast("string")).otherwise("none")
+    s = table(spark, sf, "supplier").select(k, curie("supplier", "s_suppkey").alias("id"), F.lit("supplier").alias("source"), balance.alias("balance:double"))
+    again = s.where((k % 5 == 0) & (k % 7 != 0)).withColumn("source", F.lit("zz"))
+    nameless = s.where(k % 4 == 0).withColumns({"id": F.lit(None).cast("string"), "balance:double": F.lit("")})
+    parts = table(spark, sf, "part").select(curie("part", "p_partkey").alias("id"), F.lit("part").alias("source"), F.lit("").alias("balance:double"))
+    line = table(spark, sf, "lineitem")
+    quantity = F.when(F.col("l_quantity") > 48, "many").otherwise(F.col("l_quantity").cast("string"))
+    end = F.when(F.col("l_suppkey") % 9 != 0, curie("supplier", "l_suppkey"))
+    e = line.select(curie("part", "l_partkey").alias("start_id"), end.alias("end_id"), F.lit("supplied_by").alias("type"), F.lit("lineitem").alias("source"), quantity.alias("quantity:double"))
+    kept, complete, rejects, _ = graph.checked_import(graph.union_all([s.drop("s_suppkey"), again.drop("s_suppkey"), nameless.drop("s_suppkey"), parts]), e)
+    none = lambda t: F.lit(None).cast(t)
+    r = rejects.groupBy("kind", "reason", "start_id", "end_id").agg(F.count(F.lit(1)).alias("n")).withColumn("total", none("double"))
+    n = kept.where("source <> 'part'").select(F.lit("kept node").alias("kind"), none("string").alias("reason"), F.col("id").alias("start_id"), none("string").alias("end_id"), F.lit(1).cast("long").alias("n"), F.col("balance").alias("total"))
+    c = complete.groupBy("start_id", "end_id").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("total"))
+    return r.unionByName(n).unionByName(c.select(F.lit("kept edge").alias("kind"), none("string").alias("reason"), "start_id", "end_id", "n", "total"))
+
+
 DEPTH = "1 + (length(text) % 4)"
 
 

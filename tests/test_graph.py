@@ -163,3 +163,44 @@ def test_closure_takes_log_rounds_and_below_makes_only_what_it_returns(spark, mo
         hierarchy.below(edges, ["n39"], "c", "p", rounds=3)
     empty = spark.createDataFrame([], "c string, p string")
     assert rows(hierarchy.closure(empty, "c", "p")) == [] and rows(hierarchy.below(empty, ["a"], "c", "p")) == []
+
+
+def test_import_accounts_for_every_row(spark):
+    n = spark.createDataFrame(
+        [("a", "s", "1", "1;2"), ("a", "t", "9", ""), ("b", "s", "x", None), ("c", "s", "", "1;y"), ("d", "s", None, ";3"), (None, "s", "2", None), (None, "s", "z", None), ("b", "t", "7", None), ("d", "s", None, ";3"), ("e:1", "u", " 5 ", "4")],
+        "id string, source string, `weight:int` string, `codes:long[]` string",
+    )
+    e = spark.createDataFrame(
+        [("a", "b", "s", "0.5"), ("a", "c", "s", "1"), ("c", "a", "s", "1"), (None, "a", "s", "1"), ("a", None, "s", "1"), ("a", "d", "s", "much"), ("e:1", "a", "t", ""), ("e:1", "a", "t", ""), ("c", "c", "s", "1")],
+        "start_id string, end_id string, source string, `share:double` string",
+    )
+    nodes, edges, rejects, found = graph.checked_import(n, e)
+    assert rows(nodes, "id", "source", "weight") == [("a", "s", 1), ("b", "t", 7), ("d", "s", None), ("e:1", "u", 5)]
+    assert {r.id: r.codes for r in nodes.collect()} == {"a": [1, 2], "b": None, "d": [None, 3], "e:1": [4]}
+    assert rows(edges, "start_id", "end_id", "share") == [("a", "b", 0.5), ("e:1", "a", None), ("e:1", "a", None)]
+    got = sorted((r.kind, r.reason, r.start_id or "", r.end_id or "", r.source) for r in rejects.collect())
+    assert got == sorted([
+        ("node", "duplicate", "a", "", "t"), ("node", "duplicate", "d", "", "s"), ("node", "value", "b", "", "s"), ("node", "value", "c", "", "s"), ("node", "no id", "", "", "s"), ("node", "value", "", "", "s"),
+        ("edge", "no end", "a", "c", "s"), ("edge", "no start", "c", "a", "s"), ("edge", "no start", "", "a", "s"), ("edge", "no end", "a", "", "s"), ("edge", "value", "a", "d", "s"), ("edge", "no start", "c", "c", "s"),
+    ])
+    assert found == {"value": 4, "no id": 1, "duplicate": 2, "no start": 3, "no end": 2}
+    assert {json.loads(r.row)["share:double"] for r in rejects.where("kind = 'edge' and reason = 'value'").collect()} == {"much"}
+    graph.checked_import(n, e, tolerance=12)
+    with pytest.raises(graph.BadImportError, match="'no start': 3"):
+        graph.checked_import(n, e, tolerance=11)
+    last = graph.checked_import(n, e, [F.desc("source")])[0]
+    assert rows(last, "id", "source")[0] == ("a", "t")
+    none = graph.checked_import(n.limit(0), e.limit(0), tolerance=0)
+    assert [df.count() for df in none[:3]] == [0, 0, 0] and set(none[3].values()) == {0}
+    only = graph.checked_import(n.limit(0), e)[3]
+    assert only["value"] == 1 and only["no start"] == 8
+
+
+def test_an_id_of_very_many_rows_is_cut_down_before_the_shuffle(spark):
+    n = spark.range(20_000).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) as id", "concat('s', id % 7) as source")
+    e = spark.createDataFrame([], "start_id string, end_id string, source string")
+    kept, _, rejects, found = graph.checked_import(n, e)
+    assert kept.count() == 13_334 and found["duplicate"] == rejects.where("start_id = 'hot'").count() == 6666
+    assert rows(kept.where("id = 'hot'"), "source") == [("s0",)]
+    plan = graph.first_by_id(n, [F.col("source")])._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.rindex("WindowGroupLimit") > plan.index("Exchange hashpartitioning")
