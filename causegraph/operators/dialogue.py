@@ -23,20 +23,26 @@ def _overlaps_itself(word: str) -> bool:
     return any(word.startswith(word[k:]) for k in range(1, len(word)))
 
 
+def uncountable(words: list[str]) -> list[str]:
+    """Words that :func:`running_mentions` refuses."""
+    return [w for w in words if " " in w and _overlaps_itself(w.lower())]
+
+
 def running_mentions(df: DataFrame, key: str, order: str, words: list[str], out: str, text: str = "text") -> DataFrame:
     """Adds how often the words occur, in lower case, in the running text up to each event, without building it.
 
     An event adds what lies in its own text and across the joint with the former one, for which
     the last characters of the running text, fewer than the longest word has, are enough.  Every
-    event has at least its leading space, so as many former events hold them.  A word that
-    overlaps itself could be counted otherwise there and is refused.
+    event has at least its leading space, so as many former events hold them.  A word without a
+    space lies in one event, so its events are counted by themselves.  A word with a space that
+    overlaps itself could be counted otherwise at a joint and is refused.
     """
-    if odd := [w for w in words if _overlaps_itself(w.lower())]:
+    if odd := uncountable(words):
         raise ValueError(f"cannot be counted event by event: {odd}")
     w = Window.partitionBy(key).orderBy(order)
     added = F.lit(0).cast("long")
     for word in words:
-        n = len(word) - 1
+        n = len(word) - 1 if " " in word else 0
         own = F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text), F.lit(""))))
         if n:
             former = F.array_join(F.collect_list(F.right(own, F.lit(n))).over(w.rowsBetween(-n, -1)), "")

@@ -232,12 +232,12 @@ def io_trace(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(c.schema).json(path)
 
 
-@query("io_transcript_folders", "SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+@query("io_transcript_folders", r"SELECT lang, regexp_replace(coalesce(text, ''), '[\t\n\x0B\f\r ]', ' ', 'g') AS text FROM documents WHERE lang IS NOT NULL")
 def io_transcript_folders(spark: SparkSession, sf: str) -> DataFrame:
-    """A folder of texts for each language."""
+    """A folder of texts for each language, read back whole."""
     path = folder(spark)
     sinks.transcripts(table(spark, sf, "documents").where("lang is not null").select("lang", F.regexp_replace("text", r"\s", " ").alias("text")), path)
-    return spark.read.text(path).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.schema("value string, lang string").text(path).select("lang", F.col("value").alias("text"))
 
 
 @query("io_run", "SELECT count(*) AS n_chunks, sum(turn) * 0.5 AS grounding_s, sum(turn) * 0.5 + count(*) * 0.25 AS total_s, (SELECT count(*) FROM conversations WHERE role <> 'user') AS annotations, string_agg(conv_id || '.' || turn, ' ' ORDER BY conv_id, turn) AS text FROM conversations")

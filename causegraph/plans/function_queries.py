@@ -103,15 +103,21 @@ def fn_audio(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "fn_resample",
-    "SELECT p_partkey AS id, 2::INT AS channels, p_size::INT AS mono_n, (p_size + 0.5)::DOUBLE AS mean, (CASE WHEN p_size % 2 = 0 THEN p_size // 2 ELSE (p_size + (p_size // 2) % 2) // 2 END)::INT AS n FROM part",
+    """WITH p AS (SELECT p_partkey AS id, p_size AS s, CASE WHEN p_size % 2 = 0 THEN p_size // 2 ELSE (p_size + (p_size // 2) % 2) // 2 END AS n,
+  list_transform(range(p_size), lambda i: ((p_partkey * 7 + i * 13) % 50 + (i * i) % 7) / 2.0::DOUBLE) AS m FROM part),
+j AS (SELECT *, unnest(range(n)) AS i FROM p),
+x AS (SELECT *, CASE WHEN n = 1 THEN 0.0 ELSE i * ((s - 1)::DOUBLE / (n - 1)) END AS x FROM j),
+f AS (SELECT *, least(floor(x)::BIGINT, s - 1) AS lo FROM x)
+SELECT id, 2::INT AS channels, s::INT AS mono_n, list_sum(m)::DOUBLE AS mono_sum, n::INT AS n, i::INT AS i, round(m[lo + 1] + (x - lo) * (m[least(lo + 2, s)] - m[lo + 1]), 6) AS sample FROM f""",
 )
 def fn_resample(spark: SparkSession, sf: str) -> DataFrame:
-    """Two channels mixed to one, then from 32 kHz to 16 kHz; halves are rounded to the even number."""
-    n = C("p_size")
-    samples = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.array(n.cast("double"), n + 1.0)))
-    p = table(spark, sf, "part").select(C("p_partkey").alias("id"), F.lit(2).alias("channels"), audio.mono(samples, F.lit(2)).alias("m"))
+    """Two channels mixed to one, then from 32 kHz to 16 kHz, sample by sample; half a sample is rounded to the even number."""
+    k, n = C("p_partkey"), C("p_size")
+    samples = F.flatten(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.array(((k * 7 + i * 13) % 50).cast("double"), ((i * i) % 7).cast("double"))))
+    p = table(spark, sf, "part").where(n > 0).select(k.alias("id"), F.lit(2).alias("channels"), audio.mono(samples, F.lit(2)).alias("m"))
     p = p.withColumn("r", audio.resample("m", F.lit(2 * audio.RATE)))
-    return p.select("id", "channels", F.size("m").alias("mono_n"), F.get("m", 0).alias("mean"), F.size("r").alias("n"))
+    total = F.aggregate("m", F.lit(0.0), lambda a, x: a + x)
+    return p.select("id", "channels", F.size("m").alias("mono_n"), total.alias("mono_sum"), F.size("r").alias("n"), F.posexplode("r").alias("i", "sample")).withColumn("sample", F.round("sample", 6))
 
 
 @query(

@@ -35,10 +35,17 @@ def check_requests(df: DataFrame) -> DataFrame:
 
 
 def keyword_causes(df: DataFrame, key: str, order: str, causes: dict = CAUSES) -> DataFrame:
-    """Per event: chunks_processed, causes (map of curie to struct), top_cause, on all text so far of its dialogue."""
+    """Per event: chunks_processed, causes (map of curie to struct), top_cause, on all text so far of its dialogue.
+
+    Mentions are counted event by event and summed; only keywords that cannot be (see ``dialogue.running_mentions``)
+    need the text so far itself.
+    """
     groups = {g: words for g, (_, _, words) in causes.items() if words}
     other = next(g for g, (_, _, words) in causes.items() if not words)
-    scored = dialogue.keyword_scores(dialogue.running_text(df, key, order), groups, other=other)
+    if dialogue.uncountable([w for words in groups.values() for w in words]):
+        scored = dialogue.keyword_scores(dialogue.running_text(df, key, order), groups, other=other).drop("all_text")
+    else:
+        scored = dialogue.running_scores(df, key, order, groups, other=other)
     entries = F.create_map(*[x for g, (code, name, _) in causes.items() for x in (F.lit(f"icd10:{code}"), F.struct(F.lit(name).alias("name"), F.create_map(F.lit("icd10"), F.lit(code)).alias("identifiers"), F.col(f"score_{g}").alias("score")))])
     top = dialogue.top_cause([(f"icd10:{code}", F.col(f"score_{g}")) for g, (code, _, _) in causes.items()])
     return scored.withColumns({"causes": entries, "top_cause": top}).withColumnRenamed("chunks", "chunks_processed")

@@ -133,7 +133,7 @@ def test_running_mentions(spark):
     key = lambda x: sorted((r.k, r.i, r.n) for r in x.select("k", "i", "n").collect())
     assert key(fast) == key(slow)
     with pytest.raises(ValueError):
-        dialogue.running_mentions(df, "k", "i", ["aha"], "n")
+        dialogue.running_mentions(df, "k", "i", ["ab ab"], "n")
 
 
 def brute_spans(text, evidence, least=0.7):

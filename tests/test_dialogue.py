@@ -190,3 +190,16 @@ def test_translation_and_silence(spark):
     df = spark.createDataFrame([("bonjour tout", "fr"), ("oui", "fr"), ("hi you", "en")], "text string, lang string")
     assert sorted(r.text for r in inference.translated(df, lambda x, _: x.upper()).collect()) == ["BONJOUR TOUT", "hi you", "oui"]
     assert spark.range(1).select(t.silent(F.lit(32), integer=True)).first()[0] is True
+
+
+def test_keyword_causes_from_counts_equal_those_from_the_text_so_far(spark):
+    """Words that overlap themselves, within an event and beside a joint, words with a space across joints, nulls and empty texts."""
+    texts = ["Cardiacardiac", "chest", "pain and CHEST", None, "pain", "", "cardiac", "heart heart", "aha ah aha", "fever chest  pain", "ab ab", "ab"]
+    df = spark.createDataFrame([(k, i, t) for k in "xy" for i, t in enumerate(texts if k == "x" else texts[::-1])], "k string, i int, text string")
+    for words in (["cardiac", "chest pain"], ["aha", "cardiac"], ["ab ab"]):
+        causes = {"one": ("A", "first", words), "two": ("B", "second", ["fever", "heart"]), "other": ("C", "third", [])}
+        plain = dialogue.keyword_scores(dialogue.running_text(df, "k", "i"), {"one": words, "two": ["fever", "heart"]})
+        want = {(r.k, r.i): (r.score_one, r.score_two, r.score_other, r.chunks) for r in plain.collect()}
+        got = inference.keyword_causes(df, "k", "i", causes)
+        assert "all_text" not in got.columns
+        assert {(r.k, r.i): (*[r.causes[f"icd10:{c}"].score for c in "ABC"], r.chunks_processed) for r in got.collect()} == want
