@@ -158,6 +158,11 @@ def inf_requests(spark: SparkSession, sf: str) -> DataFrame:
     return inference.check_requests(c).select("conv_id", "turn", "error", F.when(turn % 3 == 0, C("timestamp")).otherwise(-1.0).alias("timestamp"))
 
 
+def upper(c: str) -> str:
+    """A character's one upper-case character: where its full upper case has several, the title case or, of a sharp s, U+1E9E; else itself."""
+    return next((u for u in (c.upper(), c.title(), "\u1e9e" if c == "\u00df" else c) if len(u) == 1), c)
+
+
 @query("inf_translated", "SELECT doc_id, CASE WHEN lang = 'en' OR len(list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '')) <= 1 THEN md5(text) WHEN lang = 'de' THEN md5(text) ELSE md5(upper(text)) END AS text FROM documents")
 def inf_translated(spark: SparkSession, sf: str) -> DataFrame:
     """Texts in other languages through a translator that knows all but one of them; what it fails on stays."""
@@ -165,7 +170,7 @@ def inf_translated(spark: SparkSession, sf: str) -> DataFrame:
     def translate(x: str, language: str) -> str:
         if language == "de":
             raise RuntimeError("not known")
-        return "".join(c.upper() if len(c.upper()) == 1 else c for c in x)
+        return "".join(map(upper, x))
 
     d = table(spark, sf, "documents").select("doc_id", "text", "lang")
     return inference.translated(d, translate).select("doc_id", F.md5(C("text").cast("binary")).alias("text"))
