@@ -61,8 +61,9 @@ def streamed(spark: SparkSession, sf: str, name: str, process) -> DataFrame:
     return run_stream(spark, source, process, name)
 
 
-def run_stream(spark: SparkSession, source: DataFrame, process, name: str) -> DataFrame:
-    """A streaming table put through ``process`` until it is used up. The state store provider is set for this stream's start only."""
+def run_stream(spark: SparkSession, source: DataFrame, process, name: str, then=None) -> DataFrame:
+    """A streaming table put through ``process`` until it is used up; what ``then`` adds to it is taken by the same stream after that,
+    whatever the order in which the source lists its files. The state store provider is set for this stream's start only."""
     from causegraph.storage import shared_root
     from causegraph.streaming import processors
 
@@ -71,8 +72,11 @@ def run_stream(spark: SparkSession, source: DataFrame, process, name: str) -> Da
     spark.conf.set(provider, processors.ROCKSDB)
     try:
         out = process(source)
-        run = out.writeStream.format("parquet").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start(f"{work}/out")
-        run.awaitTermination()
+        use_up = lambda: out.writeStream.format("parquet").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start(f"{work}/out").awaitTermination()
+        use_up()
+        if then is not None:
+            then()
+            use_up()
     finally:
         spark.conf.set(provider, before)
     return spark.read.schema(out.schema).parquet(f"{work}/out")
@@ -169,13 +173,21 @@ def dlg_idle_stream(spark: SparkSession, sf: str) -> DataFrame:
     from causegraph.streaming import processors
 
     e = table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("text"))
-    # a row of no user, long after the others, carries the watermark past the last flush
-    last = e.agg(F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"), F.lit(-1).cast(e.schema["event_id"].dataType).alias("event_id"), (F.max("ts") + F.expr("interval 400 days")).alias("ts"), F.lit("").alias("text")).where("ts is not null")
-    path = f"{shared_root(spark)}/moments-{uuid.uuid4().hex}"
-    e.unionByName(last).write.parquet(path)
     # rows come in any order here, so the watermark waits for as long as the table lasts
-    gate = lambda df: processors.event_idle_gate_stream(df, "user_id", "ts", "event_id", 4, IDLE_DAY, POLL_HOUR, "200 days")
-    return run_stream(spark, spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 2).parquet(path), gate, "moments")
+    ends = e.agg(F.unix_micros(F.min("ts")).alias("first"), F.unix_micros(F.max("ts")).alias("last")).first()
+    days = 1 + (ends.last - ends.first) // 86_400_000_000 if ends.last is not None else 1
+    path = f"{shared_root(spark)}/moments-{uuid.uuid4().hex}"
+    e.write.parquet(path)
+
+    def close() -> None:
+        """A row of no user, long after the others, carries the watermark past the last flush; it must not be read before any of them."""
+        far = ends.last + (days + 2) * 86_400_000_000 + 1000 * (IDLE_DAY + POLL_HOUR)
+        last = spark.range(1).select(F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"), F.lit(-1).cast(e.schema["event_id"].dataType).alias("event_id"), F.timestamp_micros(F.lit(far)).alias("ts"), F.lit("").alias("text"))
+        last.write.mode("append").parquet(path)
+
+    gate = lambda df: processors.event_idle_gate_stream(df, "user_id", "ts", "event_id", 4, IDLE_DAY, POLL_HOUR, f"{days} days")
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return run_stream(spark, source, gate, "moments", close if ends.last is not None else None)
 
 
 @query("dlg_load_shed", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 20")

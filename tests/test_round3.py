@@ -23,3 +23,13 @@ def test_translated_odd_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got, wanted = same(spark, tmp_path, "inf_translated", "documents")
     assert got == wanted
+
+
+def test_idle_stream_of_several_years(spark, tmp_path):
+    """Micro-batches whose events lie further apart than any fixed delay lose none of them."""
+    begin = datetime(2020, 1, 1)
+    rows = [(i, i % 3, begin + timedelta(days=(i * 37) % 1000, minutes=i), "view" if i % 2 else "click") for i in range(120)]
+    rows.sort(key=lambda r: r[2], reverse=True)
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string").repartitionByRange(7, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    got, wanted = same(spark, tmp_path, "dlg_idle_stream", "events")
+    assert got == wanted and len(got) > 40
