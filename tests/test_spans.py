@@ -86,3 +86,26 @@ def test_known_subsequences_settle_later_runs(material):
     for i in np.flatnonzero(before >= 0.6):
         exact = 2 * edit._common(bits, len(phrase), text[starts[i] : ends[i]], [int(ends[i] - starts[i])])[0] / (ends[i] - starts[i] + len(phrase))
         assert exact - 1e-9 <= bound[i] and (bound[i] < 0.6 or abs(bound[i] - min(exact, before[i])) < 1e-9)
+
+
+def test_screened_phrases_and_each_by_itself(monkeypatch):
+    """Many phrases share a reading of a text; its bounds hold, lower most runs, and change nothing in what is found."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    words = ["ción", "de", "la", "ñarie", "boda", "querr", "les", "rr", "mente", "os", "ß", "zz."]
+    text = " ".join(rng.choice(words) for _ in range(400))
+    parts = text.split(" ")
+    needles = [" ".join(w if rng.random() < keep else rng.choice(words) for w in parts[a : a + n]) for a, n, keep in ((5, 14, 0.9), (60, 20, 0.6), (200, 60, 0.85), (9, 25, 0.0), (150, 70, 0.0), (300, 16, 0.3))]
+    monkeypatch.setattr(edit, "MANY", 1)
+    for near in (8, 140):
+        monkeypatch.setattr(edit, "NEAR", near)
+        windows, screen = edit._Windows(text, str.lower), edit._Screen(tuple(needles))
+        for k, bound in screen.bounds(windows, [*range(len(needles))], 0.7).items():
+            _, _, starts, ends, _, _ = windows.of(len(needles[k].split()))
+            for i in range(0, len(bound), 7):
+                true = SequenceMatcher(None, needles[k], windows.low[starts[i] : ends[i]]).ratio()
+                assert true <= bound[i] + 1e-9
+            assert (bound < windows.by_length(needles[k])).mean() > 0.5 or len(needles[k]) > 200
+        alone = [(i, *s) for i, n in enumerate(needles) for s in edit.spans(text, [n])]
+        assert edit.each_span(text, needles) == alone and len(alone) >= 2
