@@ -33,3 +33,13 @@ def test_idle_stream_of_several_years(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string").repartitionByRange(7, "event_id").write.parquet(f"{tmp_path}/events.parquet")
     got, wanted = same(spark, tmp_path, "dlg_idle_stream", "events")
     assert got == wanted and len(got) > 40
+
+
+def test_spans_that_are_taken_apart_are_searched_once(spark, sf):
+    from pyspark.sql import functions as F
+
+    from causegraph.operators import grounding
+
+    df = spark.createDataFrame([(1, "one two three", ["two"])], "id long, text string, evidences array<string>").repartition(2)
+    plan = grounding.find_spans(df).select("id", F.posexplode("spans"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
