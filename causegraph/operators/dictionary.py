@@ -35,6 +35,8 @@ AS_WRITTEN, FIRST_LETTER, FOLDED = 1.0, 0.9, 0.75
 FILTER_BITS = (1 << 16, 1 << 30)
 _BUCKET = 32_768  # bits of a bucket of Spark's bit maps
 _U = np.uint64
+#: Words that a worker goes through at a time, so that its memory doesn't depend on the rows of a batch.
+WORDS = 1 << 17
 _PLACE = ArrayType(StructType([StructField("word", IntegerType()), StructField("n_words", IntegerType()), StructField("h", LongType())]))
 
 
@@ -123,9 +125,15 @@ def prepared(terms: DataFrame) -> Dictionary:
 
 
 def _places_of(words: pa.ListArray, sizes: tuple[int, ...], begin: np.ndarray, whole: np.ndarray) -> pa.ListArray:
-    """For arrays of hashes of words, the groups (word, n_words, h) that are very likely terms."""
+    """For arrays of hashes of words, the groups (word, n_words, h) that are very likely terms, from about WORDS words at a time."""
     if isinstance(words, pa.ChunkedArray):
         words = words.combine_chunks()
+    part = np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // WORDS
+    begins = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(words)]
+    return pa.concat_arrays([_places_in(words.slice(a, b - a), sizes, begin, whole) for a, b in zip(begins, begins[1:])])
+
+
+def _places_in(words: pa.ListArray, sizes: tuple[int, ...], begin: np.ndarray, whole: np.ndarray) -> pa.ListArray:
     flat = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64).astype(_U)
     n = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(n)

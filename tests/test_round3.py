@@ -43,3 +43,26 @@ def test_spans_that_are_taken_apart_are_searched_once(spark, sf):
     df = spark.createDataFrame([(1, "one two three", ["two"])], "id long, text string, evidences array<string>").repartition(2)
     plan = grounding.find_spans(df).select("id", F.posexplode("spans"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_places_of_a_batch_take_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from causegraph.operators import dictionary
+
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 50, 2_000_000)
+    ends = np.sort(rng.choice(len(hashes), 4000))
+    words = pa.ListArray.from_arrays(pa.array([0, *ends, len(hashes)], pa.int32()), pa.array(hashes))
+    bits = rng.integers(0, 256, dictionary.FILTER_BITS[0] // 8, dtype=np.uint8) & rng.integers(0, 256, dictionary.FILTER_BITS[0] // 8, dtype=np.uint8)
+    tracemalloc.start()
+    got = dictionary._places_of(words, (2, 3), bits, bits)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * hashes.nbytes and sum(map(len, got.to_pylist())) > 1000
+    monkeypatch.setattr(dictionary, "WORDS", 1 << 40)
+    assert got == dictionary._places_of(words, (2, 3), bits, bits)
+    assert len(dictionary._places_of(words.slice(0, 0), (2, 3), bits, bits)) == 0
