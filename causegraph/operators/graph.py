@@ -90,9 +90,16 @@ def first_by_id(nodes: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def keep_complete(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges of which both ends are nodes. The ids are a table of their own, so that Spark splits the edges of a hub."""
+    """Edges of which both ends are nodes.
+
+    Spark finds the ids that no node has among the distinct ends, of which each task hands on one, and edges meet only these; they are
+    a table of their own, so that it is broadcast where it is small, and else the edges of a hub are split.
+    """
     ids = stored(nodes.select("id").distinct(), "ids")
-    return edges.join(ids.withColumnRenamed("id", "start_id"), "start_id", "left_semi").join(ids.withColumnRenamed("id", "end_id"), "end_id", "left_semi")
+    ends = edges.select(F.explode(F.array("start_id", "end_id")).alias("id")).where("id is not null").distinct()
+    missing = stored(ends.join(ids, "id", "left_anti"), "missing")
+    known = edges.where("start_id is not null and end_id is not null")
+    return known.join(missing.withColumnRenamed("id", "start_id"), "start_id", "left_anti").join(missing.withColumnRenamed("id", "end_id"), "end_id", "left_anti")
 
 
 def import_graph(nodes: DataFrame, edges: DataFrame, order: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -66,3 +66,23 @@ def test_places_of_a_batch_take_bounded_memory(monkeypatch):
     monkeypatch.setattr(dictionary, "WORDS", 1 << 40)
     assert got == dictionary._places_of(words, (2, 3), bits, bits)
     assert len(dictionary._places_of(words.slice(0, 0), (2, 3), bits, bits)) == 0
+
+
+def test_import_shuffles_ends_and_not_edges(spark):
+    from causegraph.operators import graph
+
+    nodes = spark.createDataFrame([(f"n:{i}", "s") for i in range(50)] + [("n:1", "t"), (None, "t")], "id string, source string")
+    rows = [(f"n:{i % 60}" if i % 11 else None, f"n:{i % 55}" if i % 13 else None, "k") for i in range(600)]
+    edges = spark.createDataFrame(rows, "start_id string, end_id string, type string")
+    kept = graph.keep_complete(edges, nodes)
+    good = {f"n:{i}" for i in range(50)}
+    assert sorted((r.start_id, r.end_id, r.type) for r in kept.collect()) == sorted(r for r in rows if r[0] in good and r[1] in good)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    assert sorted(graph.keep_complete(edges, nodes.limit(0)).collect()) == []
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where very many ids have no node
+    try:
+        assert sorted(map(str, graph.keep_complete(edges, nodes).collect())) == sorted(map(str, kept.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
