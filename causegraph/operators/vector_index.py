@@ -11,13 +11,12 @@ the nodes (SAMPLE rows by a hash of their ids); every node is indexed.
 Two ways to search: with ``probes`` cells per query, chosen when the index is made so that
 the wanted recall is reached on nodes taken as queries; or exactly, where a first search
 gives each query the cosine that its k-th best must reach, and a second visits every
-cell, and looks at every vector, that can reach it: a cell's vectors lie within a known
-angle of its centroid, and a vector's cosine differs from that of its code by no more than
-the code's error.
+cell that can reach it (its vectors lie within a known angle of its centroid) and takes
+products of blocks of whole vectors, so that about k rows a query leave it.
 
 Vectors that are null, of another length than the first, of length zero or that hold null or
 non-finite components are not indexed; such queries find nothing.  Of repeated ids each row
-is indexed.  Work is dealt out as blocks of a cell's codes with blocks of the queries that
+is indexed.  Work is dealt out as blocks of a cell's codes or vectors with blocks of the queries that
 visit it, so a hot cell is many tasks.
 """
 
@@ -37,8 +36,8 @@ from causegraph.storage import stored
 
 #: The sample's rows, the most cells, dimensions of one byte of a code.
 SAMPLE, CELLS, PART = 16_384, 512, 8
-#: Rows of a block of codes and of queries; of the candidates by code, so many for each wanted neighbour are compared exactly at first.
-CODES_BLOCK, QUERIES_BLOCK, CANDIDATES = 65_536, 1024, 16
+#: Rows of a block of codes, of vectors and of queries; of the candidates by code, so many for each wanted neighbour are compared exactly at first.
+CODES_BLOCK, VECTORS_BLOCK, QUERIES_BLOCK, CANDIDATES = 65_536, 16_384, 1024, 16
 RECALL, TRIALS = 0.97, 128
 #: An exact search learns its floors from so many cells.
 FIRST = 8
@@ -243,46 +242,71 @@ def _visits(index: Index, queries: DataFrame, probes: int | None) -> DataFrame:
     return queries.select("q", "vector", "floor").mapInArrow(run, f"q {q}, vector array<double>, floor double, cell int")
 
 
-def _candidates(index: Index, visits: DataFrame, most: int | None) -> DataFrame:
-    """(q, cell, c, score): codes whose score by the code is among the best of its block, or may reach the query's floor."""
-    spark = visits.sparkSession
-    centroids, books = index.centroids, index.books
+def _dealt(index: Index, visits: DataFrame, rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame, tuple[str, ...]]:
+    """Visits and rows (cell, id, ...) of the index in blocks of bounded size, each with each within a cell, and the columns that name a pair of blocks."""
     asked = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many rows as cells
-    deal = spark.createDataFrame([(c, -(-int(index.sizes[c]) // CODES_BLOCK), -(-n // QUERIES_BLOCK)) for c, n in asked.items()], "cell int, codes int, queries int")
+    deal = visits.sparkSession.createDataFrame([(c, -(-int(index.sizes[c]) // size), -(-n // QUERIES_BLOCK)) for c, n in asked.items()], "cell int, rows int, queries int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     block = lambda key, n: F.pmod(F.xxhash64(F.lit(5), key), F.col(n).cast("long")).cast("int")
-    left = visits.join(F.broadcast(deal), "cell").select("cell", block("q", "queries").alias("i"), every("codes").alias("j"), "q", "vector", "floor")
-    codes = index.table(spark, "codes").where(F.col("cell").isin(list(asked)))  # the folders of no other cell are read
-    right = codes.join(F.broadcast(deal), "cell").select("cell", every("queries").alias("i"), block("id", "codes").alias("j"), "id", "code", "error")
+    left = visits.join(F.broadcast(deal), "cell").select("cell", block("q", "queries").alias("i"), every("rows").alias("j"), "q", "vector", "floor")
+    own = rows.where(F.col("cell").isin(list(asked)))  # the folders of no other cell are read
+    right = own.join(F.broadcast(deal), "cell").select("cell", every("queries").alias("i"), block("id", "rows").alias("j"), *[c for c in rows.columns if c != "cell"])
+    return left, right, ("cell", "i", "j")
+
+
+def _candidates(index: Index, visits: DataFrame, most: int) -> DataFrame:
+    """(q, cell, c, score): codes whose score by the code is among the best."""
+    centroids, books = index.centroids, index.books
+    codes = index.table(visits.sparkSession, "codes").select("cell", "id", "code")
+    left, right, keys = _dealt(index, visits, codes, CODES_BLOCK)
     kinds = visits.schema["q"].dataType.simpleString(), codes.schema["id"].dataType.simpleString()
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         cell, out = key[0].as_py(), []
         code = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, -1)
-        error = right.column("error").to_numpy()
         for a in range(0, left.num_rows if right.num_rows else 0, 64):
             part = left.slice(a, 64)
             x = _matrix(part.column("vector").combine_chunks())
             score = np.repeat((x @ centroids[cell])[:, None], len(code), axis=1)
             for i, (y, book) in enumerate(zip(_pieces(x), books)):
                 score += (y @ book.T)[:, code[:, i]]
-            if most is None:
-                row, at = np.nonzero(score + error >= part.column("floor").to_numpy()[:, None] - _SLACK)
-            else:
-                at = np.argpartition(-score, min(most, len(code)) - 1, axis=1)[:, :most]
-                row, at = np.repeat(np.arange(len(x)), at.shape[1]), at.ravel()
+            at = np.argpartition(-score, min(most, len(code)) - 1, axis=1)[:, :most]
+            row, at = np.repeat(np.arange(len(x)), at.shape[1]), at.ravel()
             out.append(pa.table({"q": part.column("q").take(pa.array(row)), "cell": np.full(len(row), cell, np.int32), "c": right.column("id").take(pa.array(at)), "score": score[row, at]}))
         empty = pa.table({"q": left.column("q").slice(0, 0), "cell": np.zeros(0, np.int32), "c": right.column("id").slice(0, 0), "score": np.zeros(0)})
         return pa.concat_tables(out) if out else empty
 
-    keys = ("cell", "i", "j")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"q {kinds[0]}, cell int, c {kinds[1]}, score double")
-    if most is None:
-        return found
     w = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     return found.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
 
 
+def _reaching(index: Index, visits: DataFrame, k: int) -> DataFrame:
+    """(q, cell, c): the vectors of the visited cells that may be among a query's k nearest, by products of blocks of whole vectors.
+    A block gives k of them for a query and those as near but for _SLACK, and of all blocks' only such stay."""
+    vectors = index.table(visits.sparkSession, "vectors").select("cell", "id", "vector")
+    left, right, keys = _dealt(index, visits, vectors, VECTORS_BLOCK)
+    kinds = visits.schema["q"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [pa.table({"q": left.column("q").slice(0, 0), "c": right.column("id").slice(0, 0), "score": np.zeros(0)})]
+        held = _matrix(right.column("vector").combine_chunks()) if right.num_rows else None
+        for a in range(0, left.num_rows if right.num_rows else 0, 64):
+            part = left.slice(a, 64)
+            score = _matrix(part.column("vector").combine_chunks()) @ held.T
+            least = part.column("floor").to_numpy()[:, None]
+            if score.shape[1] > k:
+                least = np.maximum(least, -np.partition(-score, k - 1, axis=1)[:, k - 1 : k])
+            row, at = np.nonzero(score >= least - _SLACK)
+            out.append(pa.table({"q": part.column("q").take(pa.array(row)), "c": right.column("id").take(pa.array(at)), "score": score[row, at]}))
+        return pa.concat_tables(out).append_column("cell", pa.array(np.full(sum(map(len, out)), key[0].as_py(), np.int32))).select(["q", "cell", "c", "score"])
+
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"q {kinds[0]}, cell int, c {kinds[1]}, score double")
+    ranked = found.withColumn("_k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"))))
+    least = F.max(F.when(F.col("_k") == k, F.col("score"))).over(Window.partitionBy("q"))
+    return ranked.withColumn("_least", least).where(F.col("_least").isNull() | (F.col("score") >= F.col("_least") - _SLACK)).select("q", "cell", "c")
+
+
 def _nearest(index: Index, queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """(q, c, name, rank, cosine) of the candidates with the highest cosines, from their own vectors, equal ones by c."""
     spark = queries.sparkSession
@@ -303,5 +327,5 @@ def search(index: Index, queries: DataFrame, k: int = grounding.TOP_K, least: fl
     if exact:
         kth = out.groupBy("q").agg(F.when(F.count(F.lit(1)) == k, F.min("cosine")).otherwise(F.lit(-2.0)).alias("floor"))
         known = asked.drop("floor").join(kth, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
-        out = _nearest(index, asked, _candidates(index, stored(_visits(index, known, None), "visits"), None), k)
+        out = _nearest(index, asked, stored(_reaching(index, stored(_visits(index, known, None), "visits"), k), "reaching"), k)
     return out.where((1 + F.col("cosine")) / 2 >= least)

@@ -86,3 +86,18 @@ def test_import_shuffles_ends_and_not_edges(spark):
         assert sorted(map(str, graph.keep_complete(edges, nodes).collect())) == sorted(map(str, kept.collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_exact_search_hands_on_about_k_rows_a_query(spark, tmp_path):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from causegraph.operators import vector_index
+
+    x = np.random.default_rng(8).normal(size=(900, 16))
+    nodes = spark.createDataFrame([(i, str(i), "one", v.tolist()) for i, v in enumerate(x)], "id long, name string, label string, embedding array<double>")
+    index = vector_index.ensure(nodes, str(tmp_path), "one", cells=6)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    visits = spark.createDataFrame([(q, x[q].tolist(), -2.0, c) for q in range(20) for c in range(6)], "q int, vector array<double>, floor double, cell int")
+    got = vector_index._reaching(index, visits, 5).collect()
+    assert {(r.q, r.c) for r in got} == {(q, int(c)) for q in range(20) for c in np.argsort(-(x[:20] @ x.T), axis=1)[q, :5]} and len(got) == 100
