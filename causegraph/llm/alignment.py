@@ -1,16 +1,12 @@
 """Operator 11: alignment of two tokenizers' tokens, and how often their ids go together.
 
-Python only tokenises: it hands over the ids of both vocabularies and the byte at which
-each token ends.  All else is done by Spark's higher-order functions within a document
-and by joins across documents.  ``array_intersect`` of the two arrays of ends gives the
-places where both cut.  Where these stand among one side's ends follows from sorting the
-ends together with the cuts, two ascending runs that merge in one pass, so a document costs
-time in proportion to its tokens and not to their square.  ``sequence`` and
-``transform`` then slice both sides into groups, and the links of a group are the
-products of its ids; sorting a document's links counts those that are equal, so only
-distinct ones leave the document.  A group too large for that, as in a long stretch in
-which the two never agree, links its distinct ids with their counts multiplied, which an
-``aggregate`` bounds by the vocabularies and not by the stretch.
+One Arrow function tokenises and cuts: it takes about SLICE_BYTES of texts at a time, marks the bytes at which both
+vocabularies' tokens end, and hands over each document's groups, as decimal text and, where a group has more than one
+token on a side, as two arrays of ids; a group of one token each is one link already.  The cutting is arithmetic on flat
+arrays over all texts of a slice, so it takes time in proportion to the tokens.  All else is done by Spark: the digests,
+the links of the other groups, which are the products of their ids, and the counts across documents.  A group too large
+for products, as in a long stretch in which the two never agree, links its distinct ids with their counts multiplied,
+which an ``aggregate`` bounds by the vocabularies and not by the stretch.
 
 How many documents hold a pair is an aggregation with map-side combine, and so is each A
 id's highest count.  Documents get the counts of their pairs back by a join: a broadcast
@@ -25,6 +21,7 @@ stays null, and columns of other names play no part.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -40,11 +37,12 @@ VOCABULARY_A, VOCABULARY_B = bpe.VOCABULARY, pieces.VOCABULARY
 BROADCAST_ROWS = 1_000_000
 #: Groups with more pairs of tokens link distinct ids only.
 PRODUCT = 256
-#: Texts of about so many bytes are tokenised at a time.
-SLICE_BYTES = 1 << 20
-#: B's ids are below this, and so is a pair's number times 2^31. The low half of a token's number is its id; _CUT is none.
+#: Texts of about so many bytes are tokenised and cut at a time.
+SLICE_BYTES = 1 << 18
+#: B's ids are below this. A pair's number is A's id times B_IDS plus B's.
 B_IDS = 1 << 17
-_CUT, _LOW = (1 << 31) - 1, (1 << 32) - 1
+#: What may stand behind an id in a document's text of groups: the last one ends the text.
+MARKS = (",", "|", ";", "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -52,28 +50,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-
 def tokenised(df: DataFrame, key: str = "doc_id", text: str = "text", a: str = VOCABULARY_A, b: str = VOCABULARY_B) -> DataFrame:
-    """(key, a, a_ends, b, b_ends): tokens of space and text, each as the byte behind it times 2^32 plus its id, and those bytes
-    alone; empty where a vocabulary changes the bytes."""
+    """(key, n_a, n_b, n_groups, groups, ones, more): tokens of space and text, in groups that end where tokens of both
+    vocabularies do. ``groups`` is their text in decimals, ``ones`` the pairs' numbers of groups of one token each, ``more``
+    the ids of the others. A text of which a vocabulary changes the bytes has no tokens."""
 
     def run(batches):
-        one, two = bpe.codec(a), Library(b)
+        one, two, numbers = bpe.codec(a), Library(b), None
         for batch in batches:
+            numbers = numbers or Decimals(max(len(one.lengths), len(two.lengths)))
             for part in bpe._slices(batch, 1, SLICE_BYTES):
-                out: list[list[np.ndarray]] = [[], [], [], []]
-                for x in part.column(1).to_pylist():
-                    i, j = (np.array(one.ordinary(" " + x), np.int64), two.encode(x)) if x else (np.zeros(0, np.int64),) * 2
-                    if x and not (one_bytes(one, i) == one_bytes(two, j) == b" " + x.encode()):
-                        i = j = np.zeros(0, np.int64)
-                    for to, ids, lengths in ((0, i, one.lengths), (2, j, two.lengths)):
-                        ends = np.cumsum(lengths[ids])
-                        out[to].append((ends << 32) + ids)
-                        out[to + 1].append(ends)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(_lists(x, kind) for x, kind in zip(out, (np.int64, np.int32) * 2))], ["key", "a", "a_ends", "b", "b_ends"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *cut(part.column(1).to_pylist(), one, two, numbers)], ["key", *names])
 
+    names = ["n_a", "n_b", "n_groups", "groups", "ones", "more"]
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, a array<long>, a_ends array<int>, b array<long>, b_ends array<int>")
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
+        run, f"key {kind}, n_a long, n_b long, n_groups long, groups binary, ones array<long>, more array<struct<a: array<int>, b: array<int>>>"
+    )
 
 
 class Library:
@@ -85,26 +78,81 @@ class Library:
         self.model = sentencepiece.SentencePieceProcessor(model_file=bpe.vocabulary_path(name))
         of = lambda i, piece: bytes([int(piece[3:-1], 16)]) if self.model.is_byte(i) else piece.replace(pieces.SPACE, " ").encode()
         table = [of(i, self.model.id_to_piece(i)) for i in range(self.model.get_piece_size())]
-        self.lengths = np.array([len(t) for t in table], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.blob = np.frombuffer(b"".join(table), np.uint8)
+        _lay(self, table)
+
+    def direct(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of a text."""
+        return array("I", self.model.encode(text)).tobytes()
+
+
+class Decimals:
+    """The decimals of numbers below ``n``, each followed by one of MARKS: those of number i and mark m are at len(MARKS) * i + m."""
+
+    def __init__(self, n: int):
+        _lay(self, [f"{i}{m}".encode() for i in range(n) for m in MARKS])
+
+
+def _lay(table, entries: list[bytes]) -> None:
+    table.lengths = np.array([len(t) for t in entries], np.int64)
+    table.starts = np.concatenate([[0], np.cumsum(table.lengths)[:-1]])
+    table.blob = np.frombuffer(b"".join(entries), np.uint8)
+
+
+def in_a_row(table, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries' bytes in a row, and where each begins; the last number is where all end."""
+    lengths = table.lengths[ids]
+    begins = _before(lengths)
+    return table.blob[np.repeat(table.starts[ids] - begins[:-1], lengths) + np.arange(begins[-1])], begins
+
+
+def _before(sizes: np.ndarray) -> np.ndarray:
+    """Sums of the numbers before each, and of all."""
+    out = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=out[1:])
+    return out
+
+
+def cut(texts: list[str | None], one, two, numbers: Decimals) -> list[pa.Array]:
+    """The columns of :func:`tokenised` but for the key."""
+    wanted = [b" " + x.encode() if x else b"" for x in texts]
+    parts = [[one.direct(" " + x) if x else b"" for x in texts], [two.direct(x) if x else b"" for x in texts]]
+    whole = [True] * len(texts)
+    for table, side in zip((one, two), parts):
+        raw, begins = in_a_row(table, np.frombuffer(b"".join(side), np.uint32))
+        raw, at = raw.tobytes(), begins[_before([len(x) // 4 for x in side])].tolist()
+        whole = [w and raw[i:j] == x for w, i, j, x in zip(whole, at, at[1:], wanted)]
+    if not all(whole):
+        parts = [[x if w else b"" for w, x in zip(whole, side)] for side in parts]
+    a, b = (np.frombuffer(b"".join(side), np.uint32).astype(np.int64) for side in parts)
+    a_of, b_of = (_before([len(x) // 4 for x in side]) for side in parts)  # where the documents' tokens begin
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text), np.int64)
+    # both sides have the same bytes, so a byte's place among all texts of the slice names it on either
+    a_ends, b_ends = np.cumsum(one.lengths[a]), np.cumsum(two.lengths[b])
+    marks = np.zeros((2, int(a_ends[-1]) + 1 if len(a) else 1), bool)
+    marks[0, a_ends] = marks[1, b_ends] = True
+    a_last, b_last = marks[1, a_ends], marks[0, b_ends]  # whether a token is the last one of its group
+    a_behind, b_behind = np.flatnonzero(a_last) + 1, np.flatnonzero(b_last) + 1  # where the groups' tokens end
+    a_size, b_size = np.diff(a_behind, prepend=0), np.diff(b_behind, prepend=0)
+    a_group, b_group = np.repeat(np.arange(len(a_size)), a_size), np.repeat(np.arange(len(b_size)), b_size)
+    of = _before(a_last)[a_of]  # where the documents' groups begin
 
+    order = np.empty(len(a) + len(b), np.int64)
+    b_marks = 2 * b_last.astype(np.int64)
+    b_marks[b_of[1:][np.diff(b_of) > 0] - 1] = 3
+    order[np.arange(len(a)) + (b_behind - b_size)[a_group]] = len(MARKS) * a + a_last
+    order[np.arange(len(b)) + a_behind[b_group]] = len(MARKS) * b + b_marks
+    written, begins = in_a_row(numbers, order)
+    groups = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(begins[a_of + b_of].astype(np.int32)), pa.py_buffer(written)])
 
-def one_bytes(codec, ids: np.ndarray) -> bytes:
-    """The tokens' bytes in a row."""
-    if not len(ids):
-        return b""
-    lengths = codec.lengths[ids]
-    ends = np.cumsum(lengths)
-    return codec.blob[np.repeat(codec.starts[ids] - (ends - lengths), lengths) + np.arange(ends[-1])].tobytes()
+    single = (a_size == 1) & (b_size == 1)
+    ones_of = _before(single)[of]
+    ones = a[a_behind[single] - 1] * B_IDS + b[b_behind[single] - 1]
+    more = [_lists(_before(size[~single]), ids[~single[group]].astype(np.int32)) for ids, size, group in ((a, a_size, a_group), (b, b_size, b_group))]
+    return [*map(pa.array, (np.diff(a_of), np.diff(b_of), np.diff(of))), groups, _lists(ones_of, ones), _lists(of - ones_of, pa.StructArray.from_arrays(more, ["a", "b"]))]
 
 
-def _lists(parts: list[np.ndarray], kind) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(kind)))
+def _lists(begins: np.ndarray, values) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
 
 
 def counted(values: Column) -> Column:
@@ -118,49 +166,19 @@ def counted(values: Column) -> Column:
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """From :func:`tokenised`: (key, n_a, n_b, n_groups, n_links, groups_sha256, links, large). A pair's number is A's id times
-    B_IDS plus B's: ``links`` has one for each link, but for links in large groups, whose distinct pairs are in ``large`` (v, n).
-
-    The steps are projections of their own, so that sorting, joining and splitting run on plain arrays.
-    """
-    low = lambda x: x.bitwiseAND(F.lit(_LOW))
-    high = lambda x: F.shiftright(x, 32).cast("int")
-    pair = lambda x, y: low(x) * F.lit(B_IDS) + low(y)
-    t = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    t = t.withColumn("cuts", F.transform("cuts", lambda e: F.shiftleft(e.cast("long"), 32) + F.lit(_CUT)))
-    # both sides' tokens with the cuts among them, a cut behind the token that ends there
-    t = t.select("key", "cuts", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), *[F.sort_array(F.concat(c, "cuts")).alias(c) for c in "ab"])
-
-    def sides(c: str) -> list[Column]:
-        ids = F.array_join(F.transform(c, low).cast("array<string>"), ",")
-        at = F.array_compact(F.transform(c, lambda x, i: F.when(low(x) == _CUT, i + 1)))
-        return [F.split(F.rtrim(F.replace(F.concat(ids, F.lit(",")), F.lit(f",{_CUT},"), F.lit(";")), F.lit(";")), ";").alias(f"{c}_ids"), at.alias(f"{c}_at")]
-
-    t = t.select("key", "n_a", "n_b", "a", "b", F.size("cuts").cast("long").alias("n_groups"), *sides("a"), *sides("b"))
-    digest = F.sha2(F.array_join(F.zip_with("a_ids", "b_ids", lambda x, y: F.concat(x, F.lit("|"), y)), ";").cast("binary"), 256)
-    at = F.zip_with("a_at", "b_at", lambda i, j: F.shiftleft(i.cast("long"), 32) + j)
-    t = t.select("key", "n_a", "n_b", "n_groups", "a", "b", F.when(F.col("n_a") > 0, digest).otherwise("").alias("groups_sha256"), at.alias("at"))
-    t = t.withColumn("gap", F.zip_with("at", F.concat(F.array(F.lit(0).cast("long")), "at"), lambda x, before: x - before))  # and null behind the last
-    single = F.lit((2 << 32) + 2)
-
-    def slices(s: Column) -> Column:
-        part = lambda c, place: F.slice(c, place(s["x"] - s["gap"]) + 1, place(s["gap"]) - 1)
-        return F.struct(part("a", high).alias("a"), part("b", lambda y: low(y).cast("int")).alias("b"))
-
-    ones = F.array_compact(F.zip_with("at", "gap", lambda x, gap: F.when(gap == single, pair(F.get("a", high(x) - 2), F.get("b", low(x).cast("int") - 2)))))
-    rest = F.array_compact(F.zip_with("at", "gap", lambda x, gap: F.when(gap != single, F.struct(x.alias("x"), gap.alias("gap")))))
-    more = F.transform(rest, slices)
-    t = t.select("key", "n_a", "n_b", "n_groups", "groups_sha256", ones.alias("ones"), more.alias("more"))
+    """From :func:`tokenised`: (key, n_a, n_b, n_groups, n_links, groups_sha256, links, large). ``links`` has the number of each
+    link's pair, but for links in large groups, whose distinct pairs are in ``large`` (v, n)."""
+    pair = lambda x, y: x.cast("long") * F.lit(B_IDS) + y
     many = lambda g: F.size(g["a"]).cast("long") * F.size(g["b"])
     product = lambda g: F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: pair(x, y))))
 
     def distinct(g: Column) -> Column:
-        one = lambda x, y: F.struct((x["v"] * F.lit(B_IDS) + y["v"]).alias("v"), (x["n"] * y["n"]).alias("n"))
-        ids = lambda c: counted(F.transform(g[c], low))
-        return let(ids("b"), lambda ys: F.flatten(F.transform(ids("a"), lambda x: F.transform(ys, lambda y: one(x, y)))))
+        one = lambda x, y: F.struct(pair(x["v"], y["v"]).alias("v"), (x["n"] * y["n"]).alias("n"))
+        return let(counted(g["b"]), lambda ys: F.flatten(F.transform(counted(g["a"]), lambda x: F.transform(ys, lambda y: one(x, y)))))
 
-    return t.select(
-        "key", "n_a", "n_b", "n_groups", (F.size("ones") + F.aggregate("more", F.lit(0).cast("long"), lambda s, g: s + many(g))).alias("n_links"), "groups_sha256",
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    return tokens.select(
+        "key", "n_a", "n_b", "n_groups", (F.size("ones") + F.aggregate("more", F.lit(0).cast("long"), lambda s, g: s + many(g))).alias("n_links"), digest,
         F.concat("ones", F.flatten(F.transform(F.filter("more", lambda g: many(g) <= PRODUCT), product))).alias("links"),
         F.flatten(F.transform(F.filter("more", lambda g: many(g) > PRODUCT), distinct)).alias("large"),
     )

@@ -170,6 +170,30 @@ def test_alignment_runs_python_only_to_tokenise(spark):
     assert len(re.findall("MapInArrow", plan)) == 1 and not re.search("PythonUDF|MapInPandas|FlatMapGroups", plan)
 
 
+def test_texts_are_cut_alike_alone_and_together(model, bytewise):
+    """A slice's flat arrays keep texts apart: odd ones, texts without tokens between others, equal ones, in any order."""
+    one, two = bpe.codec(bpe.VOCABULARY), alignment.Library(pieces.VOCABULARY)
+    numbers = alignment.Decimals(max(len(one.lengths), len(two.lengths)))
+    columns = lambda texts: list(zip(*[c.to_pylist() for c in alignment.cut(texts, one, two, numbers)]))
+    rng = random.Random(8)
+    texts = [x for _, x in ODD] + ["".join(rng.choice(["the ", "▁", "é", "日", "\n", "=*", "Ab", " 12"]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    rng.shuffle(texts)
+    assert columns([]) == [] and columns(texts) == [row for x in texts for row in columns([x])]
+    for x, (n_a, n_b, n_groups, groups, ones, more) in zip(texts, columns(texts)):
+        row = aligned_plainly([(1, x)], model, bytewise)[0]
+        assert (n_a, n_b, n_groups) == row[1:4] and len(ones) + sum(len(g["a"]) * len(g["b"]) for g in more) == row[4]
+        assert (hashlib.sha256(groups).hexdigest() if groups else "") == row[7]
+
+
+def test_alignment_expands_only_groups_of_several_tokens(spark):
+    """Spark's higher-order functions are interpreted: none goes over all tokens of a document, only over groups that need a product."""
+    tokens = alignment.tokenised(spark.createDataFrame([(1, "same words"), (2, "日本語")], DOC))
+    plan = alignment.aligned(tokens)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search("array_intersect|zip_with|array_join", plan)
+    got = {r.key: r for r in tokens.collect()}
+    assert len(got[1].ones) == got[1].n_a == got[1].n_b and not got[1].more and got[2].more
+
+
 # 12
 
 
