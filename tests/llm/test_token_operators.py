@@ -185,6 +185,20 @@ def test_texts_are_cut_alike_alone_and_together(model, bytewise):
         assert (hashlib.sha256(groups).hexdigest() if groups else "") == row[7]
 
 
+def test_one_long_text_is_cut_in_bounded_room():
+    """What a text needs at once is a bounded multiple of it, though the text of its groups is several times as long."""
+    import tracemalloc
+
+    one, two = bpe.codec(bpe.VOCABULARY), alignment.Library(pieces.VOCABULARY)
+    numbers = alignment.Decimals(max(len(one.lengths), len(two.lengths)))
+    text = " word" * 400_000
+    tracemalloc.start()
+    columns = alignment.cut([text], one, two, numbers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert columns[0].to_pylist() == [400_001] and peak < 60 * len(text), peak / len(text)
+
+
 def test_alignment_expands_only_groups_of_several_tokens(spark):
     """Spark's higher-order functions are interpreted: none goes over all tokens of a document, only over groups that need a product."""
     tokens = alignment.tokenised(spark.createDataFrame([(1, "same words"), (2, "日本語")], DOC))
